@@ -19,6 +19,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Notices and opening or closing sentences of public licenses.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
@@ -51,7 +53,7 @@ def _shingled(df: DataFrame, k: int) -> DataFrame:
 
 def _bands(values, bands: int):
     """One key per band: the least of the values under the band's hash function."""
-    return F.array(*[F.array_min(F.transform(values, lambda h, b=b: F.xxhash64(h, F.lit(b)))) for b in range(bands)])
+    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(values, lambda h: F.xxhash64(h, b))))
 
 
 def _windows(m: int):
@@ -82,11 +84,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     grams = sorted({h for r in listed for h in r["of"]})
     sizes = sorted({len(r["of"]) for r in listed})
 
-    texts = _shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text")), k).drop("__text").where("__s is not null")
+    texts = _shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text")), k).drop("__text")
     hit = F.filter(F.transform("__s", lambda h, i: F.when(h.isin(grams), i)), lambda i: i.isNotNull())
-    texts = texts.withColumn("hits", hit).where(F.size("hits") > 0)
-    windows = F.concat(*[_windows(m) for m in sizes])
-    cuts = texts.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
+    texts = texts.withColumn("hits", hit)
+    # Without a filter here the shingles are made once; the table has them for texts with hits only.
+    texts = materialize(texts.select("doc_id", F.when(F.size("hits") > 0, F.col("__s")).alias("__s"), "hits"), "shingles").where("__s is not null")
+    cuts = texts.select("doc_id", "__s", F.array(*[_windows(m) for m in sizes]).alias("w"))
+    cuts = materialize(cuts.select("doc_id", F.flatten("w").alias("w")), "windows").select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.*")
     keyed = cuts.select("doc_id", "m", "start", "grams", F.posexplode(_bands(F.col("grams"), bands)).alias("band", "key"))
     wanted = known.select("license", "of", F.size("of").alias("m"), F.posexplode(_bands(F.col("of"), bands)).alias("band", "key"))
     met = keyed.join(F.broadcast(wanted), ["m", "band", "key"])  # a row for each band of each template
