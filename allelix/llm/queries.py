@@ -84,8 +84,8 @@ ORACLE_SQL = {
     "op5_embedding_dedup": """
         WITH RECURSIVE
           v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                  AND len(list_filter(embedding, x -> x <> 0)) > 0),
+                WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+                  AND len([x for x in embedding if x <> 0]) > 0),
           links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
                     WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
           reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
