@@ -1 +1 @@
-
+from . import genotype_queries, registry
