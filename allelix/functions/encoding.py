@@ -52,7 +52,7 @@ def partially_equal(x1, x2, y1, y2) -> Column:
 
 
 def letter(allele) -> Column:
-    return F.coalesce(F.element_at(F.array(*map(F.lit, LETTERS)), F.when(c(allele) < len(LETTERS), c(allele) + 1)), F.lit("N"))
+    return F.when(c(allele) < len(LETTERS), F.get(F.array(*map(F.lit, LETTERS)), c(allele))).otherwise("N")
 
 
 def iupac(a1="a1", a2="a2") -> Column:
