@@ -1,7 +1,7 @@
 """Language identification in two steps: the family first, then one-versus-one linear support vector machines within it.
 
 The features are the square roots of hashed character n-gram counts (one to three characters, lower case) of the whole
-text, scaled to length one. Fitting takes a bounded sample of labelled rows (`per_language` rows of each language, 1,000
+text, scaled to length one. Fitting takes a bounded sample of labelled rows (`per_language` rows of each language, 500
 unless set, chosen by a hash of the id); their sparse feature vectors, never texts, go to the driver. Prediction reads
 every text on the executors and uses the text alone.
 
@@ -115,7 +115,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 1000) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel:
     """Learn from text and lang of the rows outside the held-out fold, at most per_language rows of each language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.withColumn("__told", told(F.col("text"))).withColumns({"lang_pred": F.col("__told.lang_pred"), "score": F.col("__told.score")}).drop("__told")
 
 
-def identify(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return predict(rows, fit(docs, per_language)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
