@@ -1 +1,2 @@
-from . import genotype_queries, registry
+from . import genotype_queries as genotype_queries
+from . import registry as registry
