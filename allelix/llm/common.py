@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +13,37 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
+_scopes: list[list[str]] = []
+
+
+def shared_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path in the folder that spark.checkpoint.dir names; where it is unset (tests), in a temporary folder that is set as such."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="allelix-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/allelix/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/allelix/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, the shared folders made within it but those made with keep."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _scopes.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+    path = shared_dir(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

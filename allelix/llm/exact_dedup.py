@@ -49,9 +49,11 @@ class ExactDedup:
         return self
 
     def _advance(self) -> None:
-        conf, key = self.spark.conf, "spark.sql.streaming.stateStore.providerClass"
-        before = conf.get(key)
-        conf.set(key, ROCKS)
+        # Executors close the stores of a query that has ended, and free their disk, at their next maintenance.
+        conf, wanted = self.spark.conf, {f"spark.sql.streaming.stateStore.{k}": v for k, v in (("providerClass", ROCKS), ("maintenanceInterval", "5s"))}
+        before = {k: conf.get(k) for k in wanted}
+        for k, v in wanted.items():
+            conf.set(k, v)
         try:
             arrivals = self.spark.readStream.schema(ARRIVAL).parquet(f"{self.root}/arrivals")
             state = arrivals.groupBy("digest").agg(
@@ -63,7 +65,8 @@ class ExactDedup:
             )
             query.awaitTermination()
         finally:
-            conf.set(key, before)
+            for k, v in before.items():
+                conf.set(k, v)
 
     def state(self) -> DataFrame:
         """Digest, the struct of the row that stays with its locator, number of copies."""

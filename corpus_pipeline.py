@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.llm import exact_dedup, language, mixing, near_dedup, packing
-from allelix.llm.common import materialize, shared_dir, small
+from allelix.llm.common import materialize, scratch, shared_dir, small
 from allelix.llm.queries import ranks
 
 
@@ -20,7 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
-    told = materialize(exact_dedup.exact_dedup(docs), "exact")
+    with scratch(spark):
+        told = materialize(exact_dedup.exact_dedup(docs), "exact", keep=True)
     gone = told.where("not kept")
     sha = exact_dedup.sha256(F.coalesce("text", F.lit("")))
     # Rows of one id and one text can't be told apart by a join: of those one is made anew.
@@ -35,16 +36,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
-    gone = materialize(near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct(), "near")
+    with scratch(spark):
+        gone = materialize(near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct(), "near", keep=True)
     return docs.join(small(gone, 24), "doc_id", "leftanti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document occurs as often as the mix takes it; documents that it doesn't take go."""
     keyed = [F.col("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size")]
-    told = mixing.mix(docs).select("doc_id", "source", "size", "copies")
-    told = told.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
-    told = materialize(told.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "n", "rows"), "mixed")
+    with scratch(spark):
+        told = mixing.mix(docs).select("doc_id", "source", "size", "copies")
+        told = told.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
+        told = told.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "n", "rows")
+        told = materialize(told, "mixed", keep=True)
     rows = docs.withColumn("__size", keyed[2])
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
     taken = rows.join(small(told, 60), same).withColumn("__copies", F.ceil(F.col("n") / F.col("rows")).cast("int"))
