@@ -50,8 +50,10 @@ class ExactDedup:
 
     def _advance(self) -> None:
         # Executors close the stores of a query that has ended, and free their disk, at their next maintenance.
-        conf, wanted = self.spark.conf, {f"spark.sql.streaming.stateStore.{k}": v for k, v in (("providerClass", ROCKS), ("maintenanceInterval", "5s"))}
-        before = {k: conf.get(k) for k in wanted}
+        # Without preallocation a store takes the disk of its keys, not some 4 MB however few they are.
+        wanted = {"providerClass": ROCKS, "maintenanceInterval": "5s", "rocksdb.allowFAllocate": "false"}
+        conf, wanted = self.spark.conf, {f"spark.sql.streaming.stateStore.{k}": v for k, v in wanted.items()}
+        before = {k: conf.get(k, None) for k in wanted}
         for k, v in wanted.items():
             conf.set(k, v)
         try:
@@ -66,7 +68,7 @@ class ExactDedup:
             query.awaitTermination()
         finally:
             for k, v in before.items():
-                conf.set(k, v)
+                conf.unset(k) if v is None else conf.set(k, v)
 
     def state(self) -> DataFrame:
         """Digest, the struct of the row that stays with its locator, number of copies."""
