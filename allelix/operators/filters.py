@@ -81,6 +81,17 @@ def polymorphic_sites(calls: DataFrame, max_missing: float, min_maf: float) -> D
     return s.select("site_id")
 
 
+def segregating_sites(calls: DataFrame, max_missing: float, ratio: float = 0.5) -> DataFrame:
+    """Sites whose minor count fits the family's segregation: for ratio 0.25 or 0.75 a quarter must be likelier than a half and than
+    error (0.002); else a half must be over twice as likely as both others together. The binomial coefficient cancels, so logs suffice."""
+    s = site_stats(calls).where((F.col("minor_n") > 0) & (1 - F.col("called") / F.col("taxa") <= max_missing))
+    at = lambda p: F.col("minor_n") * F.ln(F.lit(p)) + F.col("major_n") * F.ln(F.lit(1 - p))
+    error, quarter, half = at(0.002), at(0.25), at(0.5)
+    if ratio in (0.25, 0.75):
+        return s.where((quarter > half) & (quarter > error)).select("site_id")
+    return s.where(F.exp(error - half) + F.exp(quarter - half) < 0.5).select("site_id")
+
+
 def random_subset(df: DataFrame, key: str, size: float, seed: int = 7) -> DataFrame:
     """size from 1 on is a number of keys, below it a share (one key at least); by a hash order of the keys, a sampling operator."""
     keys = df.select(key).distinct()

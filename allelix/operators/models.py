@@ -214,3 +214,68 @@ def viterbi_impute(calls: DataFrame, positions: DataFrame, error: float = 0.02,
 
     j = collapsed(calls).join(positions.select("site_id", "chrom", "pos"), "site_id")
     return j.groupBy("taxon_id", "chrom").applyInPandas(one, "taxon_id int, site_id int, state int")
+
+
+def stepwise(calls: DataFrame, values: DataFrame, enter: float = 1e-5, leave: float = 2e-5, most: int = 50) -> DataFrame:
+    """step, site_id, f, p, bic of the sites in the final model, in the order in which they entered.
+
+    values: taxon_id, value. Sites are dosages of the minor allele, missing calls their mean. Each forward step is one
+    distributed scan that brings back its best site; the model itself is taxa-sized and lives on the driver. Ties go to the
+    smaller site. A site leaves when its marginal p exceeds `leave`; a model that occurred before ends the search.
+    """
+    from .traits import collapsed
+
+    if leave < enter:
+        raise ValueError("leave can't be under enter")
+    v = values.dropna().select("taxon_id", "value").dropDuplicates(["taxon_id"]).orderBy("taxon_id").toPandas()
+    spark, out = calls.sparkSession, "step int, site_id int, f double, p double, bic double"
+    y, at = v["value"].to_numpy(float), {t: i for i, t in enumerate(v["taxon_id"])}
+    dosages = collapsed(calls).where("value is not null")
+
+    def column(rows: pd.DataFrame) -> np.ndarray:
+        rows = rows[rows["taxon_id"].isin(at)]
+        x = np.full(len(at), rows["value"].mean() if len(rows) else 0.0)
+        x[[at[t] for t in rows["taxon_id"]]] = rows["value"].to_numpy(float)
+        return x
+
+    def marginal(base: np.ndarray, x: np.ndarray) -> tuple[float, float]:
+        (r0, k0), (r1, k1) = _rss(base, y), _rss(np.column_stack([base, x]), y)
+        error = len(y) - k1
+        if k1 == k0 or error < 1:
+            return 0.0, 1.0
+        f = (r0 - r1) / (r1 / error) if r1 > 1e-12 else 1e12
+        return float(f), float(f_test(f, 1, error))
+
+    def design(sites: list[int]) -> np.ndarray:
+        return np.column_stack([np.ones(len(y)), *[chosen[s] for s in sites]])
+
+    chosen: dict[int, np.ndarray] = {}
+    model: list[int] = []
+    seen = {()}
+    while len(y) > 2 and len(model) < most:
+        base = design(model)
+
+        def one(g: pd.DataFrame) -> pd.DataFrame:
+            f, p = marginal(base, column(g))  # base is read when the scan runs, in this round
+            return pd.DataFrame({"site_id": [int(g["site_id"].iloc[0])], "f": [f], "p": [p]})
+
+        found = dosages.where(~F.col("site_id").isin(model)) if model else dosages
+        best = found.groupBy("site_id").applyInPandas(one, "site_id int, f double, p double").orderBy("p", F.desc("f"), "site_id").first()
+        if best is None or best["p"] > enter:
+            break
+        site = best["site_id"]
+        chosen[site] = column(dosages.where(F.col("site_id") == site).toPandas())
+        model = [*model, site]
+        tails = {s: marginal(design([o for o in model if o != s]), chosen[s])[1] for s in model}
+        worst = max(model, key=lambda s: tails[s])
+        if tails[worst] > leave:
+            model = [s for s in model if s != worst]
+        if tuple(sorted(model)) in seen:
+            break
+        seen.add(tuple(sorted(model)))
+    rows = []
+    for i, s in enumerate(model):
+        f, p = marginal(design([o for o in model if o != s]), chosen[s])
+        r, k = _rss(design(model[: i + 1]), y)
+        rows.append((i + 1, s, f, p, float(len(y) * np.log(max(r, 1e-300) / len(y)) + k * np.log(len(y)))))
+    return spark.createDataFrame(rows, out)

@@ -63,6 +63,22 @@ def ld(calls: DataFrame, window: int | None = 50, min_taxa: int = 20, homozygous
     return g.select(F.col("i").alias("site_i"), F.col("j").alias("site_j"), n.cast("long").alias("n"), F.when(fine, d * d / (pa * (1 - pa) * pb * (1 - pb))).alias("r2"), F.when(fine & (most > 0), F.abs(d) / most).alias("d_prime"), "mj_mj", "mj_mn", "mn_mj", "mn_mn")
 
 
+def haplotype_distance(calls: DataFrame, block: int = 64) -> DataFrame:
+    """taxon_i < taxon_j, dist: over shared sites, two homozygous calls that differ count 2, a heterozygous call and another one 1, missing 0; pairs without a shared site have no row.
+
+    Calls travel as one map per taxon and block of sites; blocks are joined, so that a pair's rows are sites / block.
+    """
+    c = calls.where("a1 < 14 and a2 < 14").select("taxon_id", F.floor(F.col("site_id") / block).alias("block"), "site_id", (F.least("a1", "a2") * 16 + F.greatest("a1", "a2")).alias("call"))
+    g = c.groupBy("taxon_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("site_id", "call"))).alias("m"))
+    b = g.select(F.col("taxon_id").alias("taxon_j"), "block", F.col("m").alias("m2"))
+    het = lambda x: F.pmod(x, F.lit(17)) != 0
+    cell = lambda x, y: F.when(x == y, 0).when(het(x) | het(y), 1).otherwise(2)
+    both = F.map_values(F.map_zip_with("m", "m2", lambda k, x, y: F.when(x.isNull() | y.isNull(), 0).otherwise(cell(x, y))))
+    d = g.join(b, "block").where("taxon_id < taxon_j").withColumn("d", F.aggregate(both, F.lit(0).cast("long"), lambda s, e: s + e))
+    d = d.withColumn("n", F.size(F.array_intersect(F.map_keys("m"), F.map_keys("m2"))))
+    return d.groupBy(F.col("taxon_id").alias("taxon_i"), "taxon_j").agg(F.sum("d").alias("dist"), F.sum("n").alias("n")).where("n > 0").drop("n")
+
+
 def kinship(calls: DataFrame) -> DataFrame:
     """taxon_i <= taxon_j: sum over sites and alleles but the last ranked of centred dosages, over 2 * sum p (1 - p); missing is the mean."""
     s = site_stats(calls).select("site_id", "gametes", F.explode(F.slice("alleles", 1, F.greatest(F.size("alleles") - 1, F.lit(0)))).alias("x"))

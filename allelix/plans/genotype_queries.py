@@ -355,3 +355,29 @@ def event_sessions(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     b = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1)
     return e.withColumn("b", b).withColumn("session", F.sum("b").over(w)).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LOGS = ", l AS (SELECT s.site_id, minor_n * ln(0.002) + major_n * ln(0.998) AS e, minor_n * ln(0.25) + major_n * ln(0.75) AS q, minor_n * ln(0.5) + major_n * ln(0.5) AS h FROM site s JOIN site_calls c ON c.site_id = s.site_id WHERE minor_n > 0 AND 1 - CAST(called AS DOUBLE) / taxa <= 0.2) "
+
+
+@query("segregating_sites", WITH + _LOGS + "SELECT site_id FROM l WHERE exp(e - h) + exp(q - h) < 0.5")
+def segregating_sites(spark, d):
+    return filters.segregating_sites(geno(spark, d), 0.2)
+
+
+@query("segregating_sites_backcross", WITH + _LOGS + "SELECT site_id FROM l WHERE q > h AND q > e")
+def segregating_sites_backcross(spark, d):
+    return filters.segregating_sites(geno(spark, d), 0.2, 0.25)
+
+
+@query("haplotype_distance", WITH + """, k AS (SELECT taxon_id, site_id, least(a1, a2) AS lo, greatest(a1, a2) AS hi FROM geno WHERE a1 < 14 AND a2 < 14)
+  SELECT x.taxon_id AS taxon_i, y.taxon_id AS taxon_j, CAST(sum(CASE WHEN x.lo = y.lo AND x.hi = y.hi THEN 0 WHEN x.lo <> x.hi OR y.lo <> y.hi THEN 1 ELSE 2 END) AS BIGINT) AS dist
+  FROM k x JOIN k y ON x.site_id // 64 = y.site_id // 64 AND x.taxon_id < y.taxon_id AND x.site_id = y.site_id GROUP BY 1, 2""")
+def haplotype_distance(spark, d):
+    return pairs.haplotype_distance(geno(spark, d))
+
+
+@query("stepwise_association")
+def stepwise_association(spark, d):
+    v = trait_view(spark, d).select("taxon_id", F.col("t1").alias("value"))
+    return models.stepwise(geno(spark, d), v, 0.05, 0.1)
