@@ -1,2 +1,3 @@
 from . import genotype_queries as genotype_queries
+from . import quality_queries as quality_queries
 from . import registry as registry

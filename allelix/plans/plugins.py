@@ -6,7 +6,7 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from ..operators import filters, joins, models, pairs, reads, summary, traits, windows
+from ..operators import filters, joins, models, pairs, quality, reads, summary, traits, windows
 
 
 @dataclass
@@ -34,7 +34,7 @@ class Plugin:
 
 PLUGINS = {
     name: Plugin(name, fn)
-    for module in (filters, joins, models, pairs, reads, summary, traits, windows)
+    for module in (filters, joins, models, pairs, quality, reads, summary, traits, windows)
     for name, fn in vars(module).items()
     if inspect.isfunction(fn) and fn.__module__ == module.__name__ and name[0] != "_"
 }
