@@ -23,7 +23,7 @@ _HOM = _BITS + """, cr AS (SELECT x.site_id AS site_i, y.site_id AS site_j, CAST
 _LD = _BITS + """, q AS (SELECT x.site_id AS site_i, y.site_id AS site_j, CAST(sum(CASE WHEN x.mn AND y.mn THEN 1 ELSE 0 END) AS DOUBLE) AS ab, CAST(sum(CASE WHEN x.mn AND y.mj THEN 1 ELSE 0 END) AS DOUBLE) AS ab2,
   CAST(sum(CASE WHEN x.mj AND y.mn THEN 1 ELSE 0 END) AS DOUBLE) AS a2b, CAST(sum(CASE WHEN x.mj AND y.mj THEN 1 ELSE 0 END) AS DOUBLE) AS a2b2 FROM mm x JOIN mm y ON x.taxon_id = y.taxon_id AND x.site_id < y.site_id AND y.site_id - x.site_id <= 50 GROUP BY 1, 2),
   f AS (SELECT *, ab + ab2 + a2b + a2b2 AS n FROM q), h AS (SELECT *, (a2b + a2b2) / nullif(n, 0) AS pa, (ab2 + a2b2) / nullif(n, 0) AS pb FROM f),
-  ld AS (SELECT site_i, site_j, CASE WHEN n >= 20 AND ab + ab2 >= 2 AND ab + a2b >= 2 AND pa > 0 AND pa < 1 AND pb > 0 AND pb < 1 THEN (a2b2 / n - pa * pb) * (a2b2 / n - pa * pb) / (pa * (1 - pa) * pb * (1 - pb)) END AS r2 FROM h)"""
+  ld AS (SELECT site_i, site_j, CASE WHEN n >= 20 AND ab + ab2 >= 2 AND ab + a2b >= 2 AND pa > 0 AND pa < 1 AND pb > 0 AND pb < 1 THEN (a2b2 / n - pa * pb) * (a2b2 / n - pa * pb) / (pa * (1 - pa) * pb * (1 - pb)) END AS r2 FROM h WHERE n > 0)"""
 _MASKED = """, mask AS (SELECT taxon_id, site_id, CASE WHEN (taxon_id * 7 + site_id) % 10 = 0 THEN 15 ELSE a1 END AS a1, CASE WHEN (taxon_id * 7 + site_id) % 10 = 0 THEN 15 ELSE a2 END AS a2 FROM geno),
   mg AS (SELECT site_id, a1 AS allele FROM mask WHERE a1 < 14 UNION ALL SELECT site_id, a2 FROM mask WHERE a2 < 14), mc AS (SELECT site_id, allele, count(*) AS n FROM mg GROUP BY 1, 2),
   mr AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC, allele) AS rk FROM mc),
@@ -37,7 +37,7 @@ def masked(spark, d):
 
 @query("ld_bins", WITH + _LD + ", b AS (SELECT CAST(least(99, floor(round(r2, 9) * 100)) AS INT) AS bin, count(*) AS n FROM ld WHERE r2 IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM ld WHERE r2 IS NULL HAVING count(*) > 0) SELECT bin, n, CASE WHEN bin IS NOT NULL THEN round(CAST(sum(CASE WHEN bin IS NOT NULL THEN n END) OVER (ORDER BY bin NULLS FIRST) AS DOUBLE) / sum(CASE WHEN bin IS NOT NULL THEN n END) OVER (), 9) END AS share FROM b")
 def ld_bins(spark, d):
-    return quality.ld_bins(pairs.ld(geno(spark, d))).withColumn("share", r9("share"))
+    return quality.ld_bins(pairs.ld(geno(spark, d)).where("n > 0")).withColumn("share", r9("share"))
 
 
 @query("ld_mean_by_site", WITH + _LD + ", e AS (SELECT site_i AS site_id, r2 FROM ld WHERE r2 IS NOT NULL UNION ALL SELECT site_j, r2 FROM ld WHERE r2 IS NOT NULL) SELECT site_id, count(*) AS pairs, round(avg(r2), 9) AS mean_r2 FROM e GROUP BY 1")
