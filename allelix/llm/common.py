@@ -62,7 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (u, v): returns (node, component), component being the smallest node.
 
     Alternating large-star and small-star rounds, each written to the shared folder. Minima are partial
-    aggregates and the joins are plain equi-joins that adaptive execution splits, so a hub costs no single task.
+    aggregates in tables of their own, so that the joins are plain ones that broadcast if small or that adaptive execution
+    splits; a hub costs no single task.
     Nodes without links don't occur in the result. Repeated links, both directions and self-links are allowed.
     """
     e = materialize(
@@ -71,11 +72,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = both.where("v > u").join(small(low, 24), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = materialize(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        star = large.join(small(low, 24), "u")
         e = star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = materialize(e.where("u > v").distinct(), "small-star")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
