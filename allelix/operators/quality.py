@@ -14,7 +14,7 @@ from .summary import allele_counts, site_stats
 
 def ld_bins(ld: DataFrame, bins: int = 100) -> DataFrame:
     """Pairs by bin of r2 with their running share; pairs without r2 have a bin of their own (null) outside the shares. At most bins + 1 rows are ordered."""
-    at = F.least(F.lit(bins - 1), F.floor(F.round("r2", 9) * bins)).cast("int")
+    at = F.when(F.col("r2").isNotNull(), F.least(F.lit(bins - 1), F.floor(F.round("r2", 9) * bins))).cast("int")
     g = ld.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     kept = F.when(F.col("bin").isNotNull(), F.col("n"))
     share = F.sum(kept).over(Window.orderBy("bin")) / F.sum(kept).over(Window.partitionBy())
