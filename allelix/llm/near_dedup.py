@@ -3,10 +3,13 @@
 The words of a text give k-mers of five words, each labelled with how often it occurred before in the text. Each of
 `sketches` hash functions picks the `picks` smallest labelled k-mers and keeps them in text order; the resulting tuple is a
 bucket key, so buckets hold texts that share k-mers in the same order. Exact copies are one class first. In each bucket
-every class is paired with the smallest one and with its predecessor; pairs are made distinct, and each is verified by a
-banded alignment of the words: texts link if 1 - distance / longer length is at least the similarity (0.8). Classes that
-verified with nobody in a bucket are dealt again by a further sketch within their bucket, with other leaders. Components of
-the links are the groups and the smallest doc_id stays. Pairs are linear in the rows of the buckets.
+every class is paired with the smallest one; pairs are made distinct, and each is verified by a banded alignment of the
+words: texts link if 1 - distance / longer length is at least the similarity (0.8). Classes that failed with their bucket's
+leader are dealt again to the smallest of themselves, as long as a quarter of such pairs links. Then each class that failed
+with the first leader meets all other members of its bucket outside its component; pairs whose lengths or bags of words
+already differ too much for a link are left out, the others are aligned. So any two similar texts that share a bucket end in
+one group. Components of the links are the groups and the smallest doc_id stays. The last step compares the failed classes
+of a bucket with its members, which is quadratic in a bucket of dissimilar texts; its blocks, not its pairs, are rows.
 
 A pair whose k-mer similarity is 0.8 meets in one of 24 sketches of three k-mers but for a chance under 1e-6.
 
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize, small
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+BINS = 256
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -136,14 +140,14 @@ def similar(a: str, b: str, similarity: float) -> bool:
 
 
 def sketched(docs: DataFrame, k: int, sketches: int, picks: int) -> DataFrame:
-    """doc_id, digest, keys of every text with words; keys holds two sketches per function, the second for the second round."""
+    """doc_id, digest, keys of every text; those without words have no keys."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = []
             for t in b["text"]:
                 w = t.split()
-                keys.append(order_minhash(labelled_kmers(w, k), sketches + 1, picks) if w else [])
+                keys.append(order_minhash(labelled_kmers(w, k), sketches, picks) if w else [])
             yield pd.DataFrame({"doc_id": b["doc_id"], "digest": b["digest"], "keys": keys})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -160,31 +164,95 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _candidates(keyed: DataFrame) -> DataFrame:
-    """keyed (key, rep): every member with the bucket's smallest one; distinct."""
+    """keyed (key, rep): every member with the bucket's smallest one."""
     lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
     return keyed.join(lead, "key").where("rep <> lead")
 
 
+def bag(words: list[str]) -> bytes:
+    """How many words fall in each of BINS bins, 255 at most: no two texts' bags differ more than the texts do."""
+    n = np.bincount(np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in words), np.int64, len(words)) % BINS, minlength=BINS)
+    return np.minimum(n, 255).astype(np.uint8).tobytes()
+
+
+def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, block: int = 512) -> DataFrame:
+    """u < v: the strays (key, rep) with every member of their buckets but those in the same component, less the pairs whose
+    lengths or bags of words differ by more than the similarity allows, which can't link.
+
+    Strays and members of a bucket are dealt in blocks; a group is a block of either, so that pairs aren't rows.
+    """
+
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [t.split() for t in b["text"]]
+            yield pd.DataFrame({"rep": b["rep"], "words": [len(w) for w in words], "bag": [bag(w) for w in words]})
+
+    of = texts.mapInPandas(bags, "rep long, words long, bag binary").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of = materialize(of.select("rep", "words", "bag", F.coalesce("component", "rep").alias("c")), "bags")
+    of = small(of, BINS + 60)
+    sizes = strays.groupBy("key").agg(F.count(F.lit(1)).alias("s")).join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
+    sizes = materialize(sizes.select("key", F.ceil(F.col("s") / block).cast("int").alias("s"), F.ceil(F.col("m") / block).cast("int").alias("m")), "blocks")
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sized = small(sizes, 24)
+    left = strays.join(sized, "key").select("key", "rep", dealt("s").alias("i"), every("m").alias("j"), F.lit(True).alias("stray"))
+    right = keyed.join(sized, "key").select("key", "rep", every("s").alias("i"), dealt("m").alias("j"), F.lit(False).alias("stray"))
+
+    def near(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["stray"]], rows[~rows["stray"]]
+        out_u, out_v = [], []
+        if len(a) and len(b):
+            table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), BINS).astype(np.int16)
+            reps, words, c = (b[n].to_numpy() for n in ("rep", "words", "c"))
+            for rep, n, own, comp in zip(a["rep"], a["words"], a["bag"], a["c"], strict=True):
+                band = (np.maximum(words, n) * (1 - similarity) + 1e-9).astype(np.int64)
+                at = np.flatnonzero((c != comp) & (reps != rep) & (np.abs(words - n) <= band))
+                d = table[at] - np.frombuffer(own, np.uint8).astype(np.int16)
+                more, less = np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)
+                at = at[np.maximum(more, less) <= band[at]]
+                out_u.append(np.minimum(reps[at], rep))
+                out_v.append(np.maximum(reps[at], rep))
+        return pd.DataFrame({"u": np.concatenate(out_u), "v": np.concatenate(out_v)} if out_u else {"u": [], "v": []})
+
+    return left.union(right).join(of, "rep").groupBy("key", "i", "j").applyInPandas(near, "u long, v long").distinct()
+
+
+def _links(keyed: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links that connect any two similar texts that share a bucket of keyed (key, rep)."""
+    told, strays, rest = None, None, keyed
+    while True:
+        met = materialize(_candidates(rest), "bucket-pairs")
+        pairs = met.select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
+        pairs = materialize(pairs if told is None else pairs.join(told.select("u", "v"), ["u", "v"], "leftanti"), "pairs")
+        links = materialize(_verified(pairs, _texts(docs, pairs), similarity), "alignments")
+        told = links if told is None else told.union(links)
+        failed = told.where(~F.col("same")).select(F.col("u").alias("lead"), F.col("v").alias("rep"))
+        rest = materialize(met.join(failed, ["lead", "rep"]).select("key", "rep"), "failed")
+        strays = rest if strays is None else strays
+        n, linked = links.agg(F.count(F.lit(1)), F.count_if("same")).first()
+        if linked * 4 < n or n == 0 or rest.isEmpty():
+            break
+    edges = told.where("same").select("u", "v")
+    if strays.isEmpty():
+        return edges
+    # Two members that both linked with their bucket's leader are connected; every other pair has a member that failed with it.
+    nodes = materialize(components(edges), "connected")
+    hit = materialize(strays.select("key").distinct(), "stray-buckets")
+    keyed = materialize(keyed.join(small(hit, 16), "key", "leftsemi"), "stray-members")
+    texts = _texts(docs, keyed.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
+    pairs = _rest(strays, keyed, texts, nodes, similarity).join(told.select("u", "v"), ["u", "v"], "leftanti")
+    pairs = materialize(pairs, "pairs-rest")
+    more = materialize(_verified(pairs, texts, similarity), "alignments-rest")
+    return edges.union(more.where("same").select("u", "v"))
+
+
 def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 24, picks: int = 3) -> DataFrame:
     """doc_id, component_id, group_size, kept: one row per row of docs."""
     rows = materialize(sketched(docs, k, sketches, picks), "order-minhash")
     classes = rows.where(F.size("keys") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = rows.where(F.size("keys") > 0).join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "digest", "keys")
-    keyed = reps.select("rep", F.explode(F.slice("keys", 1, sketches)).alias("key"), F.element_at("keys", -1).alias("more"))
-    keyed = materialize(keyed, "order-buckets")
-    met = materialize(_candidates(keyed.select("key", "rep", "more")), "bucket-pairs")
-    pairs = met.select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    pairs = materialize(pairs, "pairs")
-    texts = _texts(docs, pairs)
-    links = materialize(_verified(pairs, texts, similarity), "alignments")
-    edges = links.where("same").select("u", "v")
-    # Classes that failed with their bucket's leader meet again by a further sketch among those that failed in the bucket.
-    failed = links.where(~F.col("same")).select(F.col("u").alias("lead"), F.col("v").alias("rep"))
-    rest = met.join(failed, ["lead", "rep"]).select(F.xxhash64("key", "more").alias("key"), "rep").distinct()
-    again = _candidates(rest).select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    again = materialize(again.join(links.select("u", "v"), ["u", "v"], "leftanti"), "pairs-again")
-    if not again.isEmpty():
-        edges = edges.union(_verified(again, _texts(docs, again), similarity).where("same").select("u", "v"))
+    keyed = materialize(reps.select("rep", F.explode("keys").alias("key")), "order-buckets")
+    edges = _links(keyed, docs, similarity)
     nodes = components(edges)
     of = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     told = materialize(rows.select("doc_id", "digest", (F.size("keys") > 0).alias("words")).join(of, "digest", "left"), "near-classes")

@@ -83,6 +83,27 @@ def test_near_groups(spark):
     assert {i for i in got if got[i].component_id == 1} == {1, 2, 6} and got[3].kept and got[4].kept and got[5].kept and got[6].group_size == 3
 
 
+def test_near_groups_of_a_shared_template(spark):
+    """Near pairs meet only in buckets led by other texts; against brute force."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(400)]
+    texts = []
+    for i in range(60):
+        a = template[:150] + [f"d{i}x{j}" for j in range(84)] + template[234:]
+        texts += [a, a[:160] + [f"e{i}x{j}" for j in range(60)] + a[220:]]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    want = {i: i for i in range(len(texts))}
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            if near_dedup.similar(texts[i], texts[j], 0.8):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    assert len(set(want.values())) == 60
+    got = near_dedup.near_groups(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_html():
     page = "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two<p>three<div class=comments>no</div></article><footer>f</footer>"
     path = max(html_extraction.scores(page), key=lambda x: x[1])[0]
