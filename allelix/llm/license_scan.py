@@ -7,14 +7,16 @@ shingles are hashed; that loses nothing. With 64 bands of one hash each, a templ
 at least 0.47) shares a band with it but for a chance under 1e-17. A candidate counts if the share of the template's shingles
 that the window holds is at least the threshold. Only DataFrame and SQL functions run; texts aren't shuffled.
 
-Defined results: a null or blank text and one under five words have no shingles and no licenses; templates under five words
-are refused; a license that several windows hold is one row with the first best window; repeated rows give repeated rows
+A template under five words is looked for by shingles of all its words, in a scan of its own.
+
+Defined results: a null or blank text has no licenses; templates without a word are refused; a license that several windows hold is one row with the first best window; repeated rows give repeated rows
 only if their ids differ (rows of one id are one document); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,19 @@ TEMPLATES = {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nd-4.0-short": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-short": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-short": "Licensed under CC BY-NC-ND 4.0.",
+    "gpl-licensed-line": "licensed under the GNU General Public License",
+    "lgpl-licensed-line": "licensed under the GNU Lesser General Public License",
+    "agpl-licensed-line": "licensed under the GNU Affero General Public License",
+    "bsd-2-clause-line": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-line": "Licensed under the BSD 3-Clause License.",
+    "all-rights-reserved-line": "All rights reserved.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "Reproduction without written permission is prohibited. All rights reserved.",
 }
@@ -74,10 +89,16 @@ def _windows(m: int):
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, k: int = K, bands: int = 64) -> DataFrame:
     """doc_id, license, containment, first_shingle (place of the best window), window_shingles; one row per document and license."""
     templates = TEMPLATES if templates is None else templates
+    by_k: dict[int, dict[str, str]] = {}
+    for name, text in templates.items():
+        by_k.setdefault(min(k, len([w for w in re.split(r"[\W_]+", text) if w])), {})[name] = text
+    if 0 in by_k:
+        raise ValueError(f"templates without words: {sorted(by_k[0])}")
+    return reduce(DataFrame.unionByName, [_scan(docs, by_k[n], containment, n, bands) for n in sorted(by_k)])
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], containment: float, k: int, bands: int) -> DataFrame:
     spark = docs.sparkSession
-    short = [n for n, t in templates.items() if len([w for w in re.split(r"[^\w]+", t) if w]) < k]
-    if short:
-        raise ValueError(f"templates under {k} words: {short}")
     known = _shingled(spark.createDataFrame(list(templates.items()), "license string, __text string"), k)
     known = known.select("license", F.array_distinct("__s").alias("of"))
     listed = known.collect()  # a parameter, not data
