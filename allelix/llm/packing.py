@@ -15,9 +15,11 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,8 @@ class PieceEncoder:
     """Token ids as little-endian unsigned 32-bit bytes, by the ranks of a byte-level vocabulary.
 
     Texts without runs of white space are encoded space by space through a dictionary of at most CACHE entries; ids are
-    the same as those of the whole text, since such a space always begins a token. Other texts are encoded whole.
+    the same as those of the whole text, since such a space always begins a token. Other texts are encoded whole. The added
+    tokens that the vocabulary's JSON lists beside the ranks are cut out first and have their own ids.
     """
 
     def __init__(self, ranks_path: str):
@@ -45,6 +48,10 @@ class PieceEncoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.raw = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        listed = Path(ranks_path).with_suffix(".json")
+        added = json.loads(listed.read_text("utf-8")).get("added_tokens", []) if listed.exists() else []
+        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in added}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.known: dict[str, bytes] = {}
         self.runs = re.compile(r"\s\s|\s$")
 
@@ -52,6 +59,11 @@ class PieceEncoder:
         return np.asarray(self.raw.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.cuts is None or not self.cuts.search(text):
+            return self._plain(text)
+        return b"".join(self.added.get(t) or self._plain(t) for t in self.cuts.split(text) if t)
+
+    def _plain(self, text: str) -> bytes:
         if self.runs.search(text):
             return self._encode(text)
         first, *words = text.split(" ")
