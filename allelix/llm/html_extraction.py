@@ -1,7 +1,7 @@
 """Main text of web pages by paths on which a host's pages agree.
 
 First every page is parsed and its containers are scored by the text that lies in their own text blocks, less the text
-of links. A container's path is generalised: tags with their classes, digits taken out. Spark sums the scores of each path over
+of links. A container's path is generalised: tags with their classes, digits taken out. Spark sums each page's best score of each path over
 a host's pages; the winner is the path with most votes. Then every page is read again with the winning path of its host;
 a page without such a container takes its own best one. Within the container, menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are left out. Only paths and scores are shuffled, never pages.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -154,9 +155,19 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
 
 
 def scores(page: str | None) -> list[tuple[str, float]]:
-    """(generalised path, score) of the containers: the text in blocks right below them, half of that one level further up."""
+    """(generalised path, score) of the containers: the text in blocks right below them, half of that one level further up.
+
+    Containers on one path within the same container are parts of it: it gets all of their text, so none of them beats it.
+    """
     blocks, containers = parse(page or "")
     own = {id(c) for c in containers}
+    above = {}
+    for c in containers:
+        x = c.parent
+        while x is not None and id(x) not in own:
+            x = x.parent
+        above[id(c)] = (id(x), c.path)
+    parts = Counter(above.values())
     for node, text in blocks:
         value = len(text) * (1.0 if node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "li") else 0.5)
         if node.link:
@@ -165,7 +176,7 @@ def scores(page: str | None) -> list[tuple[str, float]]:
         while x is not None and share > 0.2:
             if id(x) in own:
                 x.score += value * share
-                share *= 0.5
+                share *= 1.0 if parts[above[id(x)]] > 1 else 0.5
             x = x.parent
     return [(c.path, c.score) for c in containers if c.score > 0]
 
@@ -194,7 +205,7 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, paths: the path with most votes. A page's votes are its containers' scores, 1000 for the best one."""
+    """host, paths: the path with most votes. A page's vote for a path is the best score of its containers there, 1000 for the page's best."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -202,7 +213,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
             for host, page in zip(b["host"], b["html"], strict=True):
                 found = scores(page)
                 best = max((s for _, s in found), default=0.0)
+                most: dict[str, float] = {}
                 for path, s in found:
+                    most[path] = max(s, most.get(path, 0.0))
+                for path, s in most.items():
                     sums[host, path] = sums.get((host, path), 0) + round(1000 * s / best)
             yield pd.DataFrame([(h, p, v) for (h, p), v in sums.items()], columns=["host", "path", "votes"])
 
