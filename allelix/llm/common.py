@@ -1,57 +1,23 @@
-"""What the operators share: tables in the shared folder, size-checked broadcasts, connected components."""
+"""What the operators share: row identifiers, connected components, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when its measured rows times its bytes per row stay under this.
-BROADCAST_BYTES = 32 << 20
-
-
-_scopes: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where it is unset (tests), in a temporary folder that is set as such."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="allelix-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/allelix/{name}-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    return path
-
+from ..functions.tables import BROADCAST_BYTES, materialize, row_numbers, running, scratch, shared_dir, small
 
-@contextmanager
-def scratch(spark: SparkSession):
-    """Removes, at its end, the shared folders made within it but those made with keep."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _scopes.pop():
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["BROADCAST_BYTES", "components", "finished", "materialize", "numbered", "row_numbers", "running", "scratch", "shared_dir", "small", "text_of"]
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name, keep)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def finished(df: DataFrame, name: str) -> DataFrame:
+    """The result of a query, written, so that the tables that it was made from can go."""
+    return materialize(df, name, keep=True)
 
 
-def small(df: DataFrame, bytes_per_row: int, rows: int | None = None) -> DataFrame:
-    """Mark df for broadcast if its counted rows fit BROADCAST_BYTES; else leave the join to a shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n * bytes_per_row <= BROADCAST_BYTES else df
+def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
+    """df written once with an identifier of each row, so that rows with equal or null ids can be told apart."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def text_of(column: str = "text"):

@@ -1,22 +1,30 @@
 """Main text of web pages by paths on which a host's pages agree.
 
 First every page is parsed and its containers are scored by the text that lies in their own text blocks, less the text
-of links. A container's path is generalised: tags with their classes, digits taken out. Spark sums each page's best score of each path over
+of links. A container's path is generalised: tags with their classes, digits taken out, told by a hash of fixed length so
+that deep nesting costs no more than shallow. Spark sums each page's best score of each path over
 a host's pages; the winner is the path with most votes. Then every page is read again with the winning path of its host;
 a page without such a container takes its own best one. Within the container, menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are left out. Only paths and scores are shuffled, never pages.
 
+An element is left out for its tag or role, or if a whole class or id says so: `site-header` does, `has-sidebar`,
+`section-header` or `share-price` don't. An element that is out by its name alone and holds four fifths of the page's text or
+more is a wrapper and stays, unless it is one of reader comments. Left-out elements that stand inside a line don't end it.
+
 Defined results: a null or blank page has the empty text; a page without any container gives the text of its body; a page
-without a host votes alone under the empty host; repeated rows vote each; an empty table gives an empty result; extra
+without a host votes alone under the empty host; of paths with equal votes the greatest hash wins; repeated rows vote each;
+an empty table gives an empty result; extra
 columns are ignored. Unclosed tags and cut-off pages are read as far as they go.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,13 +41,19 @@ BLOCK = {
 }
 CONTAINER = {"article", "body", "div", "main", "section", "td"}
 #: What isn't an article's text, by tag, by role and by a word of the class or id.
-LEFT_OUT_TAGS = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "header", "iframe", "input", "math", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
+LEFT_OUT_TAGS = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "header", "iframe", "input", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
 LEFT_OUT_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
-LEFT_OUT_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disqus", "discussion", "footer", "gdpr", "header",
-    "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "social",
+COMMENT_WORDS = {"comment", "comments", "disqus", "discussion", "replies", "reply", "respond"}
+LEFT_OUT_WORDS = COMMENT_WORDS | {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "footer", "gdpr", "header",
+    "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
+#: Words beside which a name still says the same.
+MODIFIERS = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "desktop", "form", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "mobile",
+    "outer", "page", "posts", "primary", "right", "secondary", "signup", "site", "slot", "sticky", "stories", "thread", "top", "unit", "wp", "wrap", "wrapper",
+}
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "body", "article", "section", "main", "div"}
@@ -49,52 +63,97 @@ ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: The share of a page's text from which an element that only its name leaves out is a wrapper.
+WRAPPER = 0.8
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "link", "parent", "first", "last", "score")
+    """path: hash of the generalised path; out: left out with all below; soft: the nearest element out by its name alone; own: the nearest container."""
+
+    __slots__ = ("tag", "path", "out", "soft", "link", "parent", "own", "first", "last", "level", "told", "names")
+
+    def __init__(self, tag, path, out, soft, link, parent, first):
+        self.tag, self.path, self.out, self.names, self.link, self.parent, self.first, self.last = tag, path, out, soft, link, parent, first, -1
+        self.soft = self if soft else parent.soft if parent else None
+        self.own = parent.own if parent else self
+        self.level, self.told = [0.0, 0.0, 0.0], 0.0
+
+    def score(self) -> float:
+        return self.level[0] + self.level[1] / 2 + self.level[2] / 4
+
 
-    def __init__(self, tag, path, out, link, parent, first):
-        self.tag, self.path, self.out, self.link, self.parent, self.first, self.last, self.score = tag, path, out, link, parent, first, -1, 0.0
+@lru_cache(1 << 16)
+def _path(above: str, name: str) -> str:
+    return hashlib.blake2b(f"{above}>{name}".encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" and v else v) for k, v in ATTR.findall(text)}
 
 
-def _left_out(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in LEFT_OUT_TAGS or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+def _names(tag: str, attrs: dict[str, str]) -> set[str]:
+    """Words that leave an element out, of those of its classes and its id that hold no word of another kind."""
     if tag in ("body", "html", "article", "main"):
-        return False
-    names = CAMEL.sub(" ", attrs.get("class", "") + " " + attrs.get("id", "")).lower()
-    return any(w in LEFT_OUT_WORDS for w in WORDS.findall(names))
+        return set()
+    found = set()
+    for token in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        words = set(WORDS.findall(CAMEL.sub(" ", token).lower()))
+        said = words & LEFT_OUT_WORDS
+        if said and words <= LEFT_OUT_WORDS | MODIFIERS | ({"section", "sections"} if said & COMMENT_WORDS else set()):
+            found |= said
+    return found
+
+
+def _left_out(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in LEFT_OUT_TAGS or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+
 
+def parse(page: str) -> tuple[list[tuple[Node, str, float]], list[Node]]:
+    """(blocks in page order with the node they stand in and how much of them isn't links, all containers).
 
-def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """(blocks in page order with the node they stand in, all containers); blocks of what is left out aren't listed."""
-    root = Node("html", "html", False, False, None, 0)
+    A block that is left out has an empty text.
+    """
+    root = Node("html", "html", False, None, False, None, 0)
     top, stack, containers, blocks, buffer = root, [root], [root], [], []
+    softs: list[Node] = []
+    open_: dict[str, int] = {}
+    chars = [0, 0]  # of the buffer: all, outside links
+
+    def put(text: str) -> None:
+        buffer.append(text)
+        n = len(text.strip())
+        chars[0] += n
+        if not top.link:
+            chars[1] += n
 
     def flush() -> None:
         if buffer:
             text = SPACE.sub(" ", html.unescape("".join(buffer))).strip()
+            if text:
+                blocks.append((next(n for n in reversed(stack) if n.tag in BLOCK or n is root), text, len(text) * chars[1] / max(1, chars[0])))
             buffer.clear()
-            if text and not top.out:
-                blocks.append((next(n for n in reversed(stack) if n.tag in BLOCK or n is root), text))
+            chars[:] = 0, 0
 
     def pop_to(at: int) -> None:
         nonlocal top
         for n in stack[at:]:
             n.last = len(blocks)
+            open_[n.tag] -= 1
         del stack[at:]
         top = stack[-1]
 
+    def ends(at: int) -> None:
+        """Close stack[at:]; the line ends if one of the blocks that close isn't left out."""
+        if not stack[at].out and any(n.tag in BLOCK for n in stack[at:] if not n.out):
+            flush()
+        pop_to(at)
+
     def close(tags: set[str], within: set[str]) -> None:
         for at in range(len(stack) - 1, 0, -1):
+            if top.out and not stack[at].out:
+                return  # what is left out doesn't close what isn't
             if stack[at].tag in tags:
-                flush()
-                pop_to(at)
+                ends(at)
                 return
             if stack[at].tag in within:
                 return
@@ -104,44 +163,51 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         m = TOKEN.search(page, at)
         if not m:
             if not top.out:
-                buffer.append(page[at:])
+                put(page[at:])
             break
         if m.start() > at and not top.out:
-            buffer.append(page[at : m.start()])
+            put(page[at : m.start()])
         at = m.end()
         end, start = m[1], m[2] or m[4]
         if end:
             end = end.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == end:
-                    if end in BLOCK or any(x.tag in BLOCK for x in stack[k:]) or stack[k].out:
-                        flush()
-                    pop_to(k)
-                    break
-                if stack[k].tag in BLOCK and end not in BLOCK:
-                    break  # an inline tag doesn't close blocks
+            if open_.get(end):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == end:
+                        ends(k)
+                        break
+                    if stack[k].tag in BLOCK and end not in BLOCK:
+                        break  # an inline tag doesn't close blocks
         elif start:
             start = start.lower()
             attrs = _attributes(m[3]) if m[3] else {}
-            if start in BLOCK:
+            if start in BLOCK and not top.out:
                 flush()
+            if start in BLOCK:
                 if top.tag == "head":
                     pop_to(len(stack) - 1)
                 if start in CLOSES_P:
                     close({"p"}, SCOPE)
             if start in SAME:
                 close(SAME[start], SCOPE)
-            if start == "br":
-                buffer.append("\n")
+            if start == "br" and not top.out:
+                put("\n")
             if start in VOID or (m[3] or "").endswith("/") and start not in BLOCK:
                 continue
-            out = top.out or _left_out(start, attrs)
-            name = start + "".join("." + c for c in sorted(re.sub(r"\d+", "", attrs.get("class", "")).split()))
-            path = top.path + ">" + name if start in BLOCK else top.path
-            node = Node(start, path, out, top.link or start == "a", top, len(blocks))
+            names = set() if top.out else _names(start, attrs)
+            out = top.out or _left_out(start, attrs) or bool(names) and start not in BLOCK
+            path = top.path
+            if start in BLOCK:
+                name = start + "".join("." + c for c in sorted(re.sub(r"\d+", "", attrs.get("class", "")).split()))
+                path = _path(path, name)
+            node = Node(start, path, out, None if out else names, top.link or start == "a", top, len(blocks))
+            if node.soft is node:
+                softs.append(node)
             stack.append(node)
+            open_[start] = open_.get(start, 0) + 1
             top = node
             if start in CONTAINER and not out:
+                node.own = node
                 containers.append(node)
             if start in RAW:
                 close_at = re.compile(rf"</{start}\b[^>]*>", re.I).search(page, at)
@@ -151,53 +217,58 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     flush()
     for x in stack:
         x.last = len(blocks)
+    if softs:
+        for node, _, plain in blocks:
+            if node.soft:
+                node.soft.told += plain
+        for s in reversed(softs):
+            if s.parent.soft:
+                s.parent.soft.told += s.told
+        most = WRAPPER * sum(plain for _, _, plain in blocks)
+        gone: set[int] = set()
+        for s in softs:
+            if s.told < most or s.names & COMMENT_WORDS or s.parent.soft and id(s.parent.soft) in gone:
+                gone.add(id(s))
+        blocks = [(x, "", 0.0) if x.soft and id(x.soft) in gone else (x, text, plain) for x, text, plain in blocks]
     return blocks, containers
 
 
-def scores(page: str | None) -> list[tuple[str, float]]:
+def _scored(blocks: list[tuple[Node, str, float]], containers: list[Node]) -> list[tuple[str, float]]:
     """(generalised path, score) of the containers: the text in blocks right below them, half of that one level further up.
 
     Containers on one path within the same container are parts of it: it gets all of their text, so none of them beats it.
     """
-    blocks, containers = parse(page or "")
-    own = {id(c) for c in containers}
-    above = {}
-    for c in containers:
-        x = c.parent
-        while x is not None and id(x) not in own:
-            x = x.parent
-        above[id(c)] = (id(x), c.path)
-    parts = Counter(above.values())
-    for node, text in blocks:
-        value = len(text) * (1.0 if node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "li") else 0.5)
-        if node.link:
-            value = 0.0
-        share, x = 1.0, node
-        while x is not None and share > 0.2:
-            if id(x) in own:
-                x.score += value * share
-                share *= 1.0 if parts[above[id(x)]] > 1 else 0.5
-            x = x.parent
-    return [(c.path, c.score) for c in containers if c.score > 0]
+    parts = Counter((id(c.parent.own), c.path) for c in containers if c.parent)
+    for node, _, plain in blocks:
+        node.own.level[0] += plain * (1.0 if node.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "li") else 0.5)
+    for c in reversed(containers):
+        if c.parent:
+            up, own = c.parent.own.level, c.level
+            shift = 0 if parts[id(c.parent.own), c.path] > 1 else 1
+            for i in range(3 - shift):
+                up[i + shift] += own[i]
+    return [(c.path, c.score()) for c in containers if c.score() > 0]
+
+
+def scores(page: str | None) -> list[tuple[str, float]]:
+    return _scored(*parse(page or ""))
 
 
 def main_text(page: str | None, paths: list[str]) -> str:
     """The blocks of the containers on the first of the paths that the page has; else of its own best container."""
     blocks, containers = parse(page or "")
-    if not blocks:
-        return ""
     for path in paths:
         found = [c for c in containers if c.path == path]
-        if any(c.last > c.first for c in found):
+        if any(blocks[i][1] for c in found for i in range(c.first, c.last)):
             break
     else:
-        own = dict.fromkeys((p for p, _ in sorted(scores(page), key=lambda x: -x[1])), 0)
-        best = next(iter(own), containers[0].path)
-        found = [c for c in containers if c.path == best]
-    keep = set()
-    for c in found:
-        keep.update(range(c.first, c.last))
-    return "\n".join(blocks[i][1] for i in sorted(keep))
+        own = max(_scored(blocks, containers), key=lambda x: x[1], default=(containers[0].path, 0.0))[0]
+        found = [c for c in containers if c.path == own]
+    keep, upto = [], 0
+    for c in found:  # in page order; one may lie within another
+        keep += [text for _, text, _ in blocks[max(c.first, upto) : c.last] if text]
+        upto = max(upto, c.last)
+    return "\n".join(keep)
 
 
 def host_of(url):
@@ -228,7 +299,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host: one row per page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    paths = materialize(host_paths(rows.select("host", "html")), "host-paths")
+    paths = materialize(host_paths(rows.select("host", "html")), "host-paths")  # a row a host; it stays until the result has been read
 
     @F.pandas_udf("string")
     def text(page: pd.Series, chosen: pd.Series) -> pd.Series:
