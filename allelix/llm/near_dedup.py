@@ -1,20 +1,25 @@
 """Near-deduplication with Order MinHash and banded alignment.
 
-The words of a text give k-mers of five words, each labelled with how often it occurred before in the text. Each of
-`sketches` hash functions picks the `picks` smallest labelled k-mers and keeps them in text order; the resulting tuple is a
-bucket key, so buckets hold texts that share k-mers in the same order. Exact copies are one class first. In each bucket
-every class is paired with the smallest one; pairs are made distinct, and each is verified by a banded alignment of the
-words: texts link if 1 - distance / longer length is at least the similarity (0.8). Classes that failed with their bucket's
+The words of a text give k-mers of five words, two empty words before and after the text included, each labelled with how
+often it occurred before in the text. Each of `sketches` hash functions picks the `picks` smallest labelled k-mers and keeps
+them in text order; the resulting tuple is a bucket key, so buckets hold texts that share k-mers in the same order. Exact
+copies are one class first. In each bucket every class is paired with the smallest one; pairs are made distinct, and each is
+verified by a banded alignment of the words: texts link if 1 - distance / longer length is at least the similarity (0.8),
+the distance being insertions, deletions and changes of words. Classes that failed with their bucket's
 leader are dealt again to the smallest of themselves, as long as a quarter of such pairs links. Then each class that failed
 with the first leader meets all other members of its bucket outside its component; pairs whose lengths or bags of words
 already differ too much for a link are left out, the others are aligned. So any two similar texts that share a bucket end in
-one group. Components of the links are the groups and the smallest doc_id stays. The last step compares the failed classes
-of a bucket with its members, which is quadratic in a bucket of dissimilar texts; its blocks, not its pairs, are rows.
+one group. Components of the links are the groups; the row with the smallest doc_id stays. The last step compares the failed
+classes of a bucket with its members, which is quadratic in a bucket of dissimilar texts; its blocks, not its pairs, are rows.
 
-A pair whose k-mer similarity is 0.8 meets in one of 24 sketches of three k-mers but for a chance under 1e-6.
+Where a share e of the words changed at random places, a k-mer stays with (1 - e) ** 5 and the share J of common k-mers among
+all is that over two less it; a pair shares a bucket but for (1 - J ** 2) ** 72. That is 0.06 at an edit similarity of 0.8 and
+under 0.001 at 0.85. tests/llm/test_near_recall.py measures it against all pairs.
 
-Defined results: rows that share a doc_id are one document (the largest of their texts is aligned); a text that is null or has no words links with nothing; texts under five words are one k-mer; repeated
-rows are one class; an empty table gives an empty result; extra columns are ignored. Whole texts are read.
+Defined results: a text that is null or has no words links with nothing; rows that share a doc_id are rows of their own; a
+group is told by its smallest doc_id (null if it has none), and exactly one row of it stays: of rows with that doc_id the one
+with the smallest digest, and of equal ones any; texts under five words are k-mers with empty words; an empty table gives an
+empty result; extra columns are ignored. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, small
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 BINS = 256
 
 
@@ -39,9 +45,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
 
 
-def labelled_kmers(words: list[str], k: int) -> np.ndarray:
-    """64-bit hashes of the k-mers with their occurrence numbers, in text order."""
-    w = np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in words), np.uint64, len(words))
+def labelled_kmers(words: list[str], k: int, pad: int = 2) -> np.ndarray:
+    """64-bit hashes of the k-mers with their occurrence numbers, in text order; pad empty words stand before and after the text."""
+    w = np.full(len(words) + 2 * pad, 1 << 32, np.uint64)
+    w[pad : pad + len(words)] = np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in words), np.uint64, len(words))
     k = min(k, len(w))
     h = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
@@ -58,12 +65,16 @@ def labelled_kmers(words: list[str], k: int) -> np.ndarray:
 def order_minhash(h: np.ndarray, sketches: int, picks: int) -> np.ndarray:
     """One signed 64-bit bucket key per sketch: the picks smallest k-mers under its hash function, in text order."""
     seeds = _mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    odd = _mix(seeds) | np.uint64(1)
     picked = np.zeros((sketches, picks), np.uint64)
     n = min(picks, len(h))
     step = max(1, (1 << 17) // len(h))  # bounds memory for long texts
     for s in range(0, sketches, step):
-        v = _mix(h[None, :] ^ seeds[s : s + step, None])
-        at = np.argpartition(v, n - 1, axis=1)[:, :n]
+        v = (h[None, :] ^ seeds[s : s + step, None]) * odd[s : s + step, None]  # the k-mers are mixed already
+        row, at = np.arange(len(v)), np.empty((len(v), n), np.int64)
+        for i in range(n):
+            at[:, i] = v.argmin(axis=1)
+            v[row, at[:, i]] = MOST
         picked[s : s + step, :n] = h[np.sort(at, axis=1)]
     key = seeds
     for i in range(picks):
@@ -139,8 +150,8 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return bool(x and y) and banded_distance(x, y, band) <= band
 
 
-def sketched(docs: DataFrame, k: int, sketches: int, picks: int) -> DataFrame:
-    """doc_id, digest, keys of every text; those without words have no keys."""
+def sketched(docs: DataFrame, k: int, sketches: int, picks: int, row_col: str | None = None) -> DataFrame:
+    """row, doc_id, digest, keys of every text; those without words have no keys. Rows are told by row_col or by numbers given here."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -148,10 +159,11 @@ def sketched(docs: DataFrame, k: int, sketches: int, picks: int) -> DataFrame:
             for t in b["text"]:
                 w = t.split()
                 keys.append(order_minhash(labelled_kmers(w, k), sketches, picks) if w else [])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": b["digest"], "keys": keys})
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "keys": keys})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("digest", F.sha2("text", 256)).mapInPandas(sketch, "doc_id long, digest string, keys array<long>")
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("digest", F.sha2("text", 256)).mapInPandas(sketch, "row long, doc_id long, digest string, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -164,7 +176,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _candidates(keyed: DataFrame) -> DataFrame:
-    """keyed (key, rep): every member with the bucket's smallest one."""
+    """Of keyed (key, rep): every member with the bucket's smallest one."""
     lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
     return keyed.join(lead, "key").where("rep <> lead")
 
@@ -191,17 +203,21 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
     of = materialize(of.select("rep", "words", "bag", F.coalesce("component", "rep").alias("c")), "bags")
     of = small(of, BINS + 60)
     sizes = strays.groupBy("key").agg(F.count(F.lit(1)).alias("s")).join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
-    sizes = materialize(sizes.select("key", F.ceil(F.col("s") / block).cast("int").alias("s"), F.ceil(F.col("m") / block).cast("int").alias("m")), "blocks")
+    few = F.col("m") <= block // 16  # many buckets of a few rows are one group; it runs through them one by one
+    sizes = sizes.select("key", F.ceil(F.col("s") / block).cast("int").alias("s"), F.ceil(F.col("m") / block).cast("int").alias("m"), few.alias("few"), F.col("m").alias("rows"))
+    sizes = materialize(sizes, "blocks")
+    bundles = max(1, (sizes.where("few").agg(F.sum("rows")).first()[0] or 0) // (2 * block))
+    sizes = sizes.drop("rows")
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sized = small(sizes, 24)
-    left = strays.join(sized, "key").select("key", "rep", dealt("s").alias("i"), every("m").alias("j"), F.lit(True).alias("stray"))
-    right = keyed.join(sized, "key").select("key", "rep", every("s").alias("i"), dealt("m").alias("j"), F.lit(False).alias("stray"))
+    left = strays.join(sized, "key").select("key", "few", "rep", dealt("s").alias("i"), every("m").alias("j"), F.lit(True).alias("stray"))
+    right = keyed.join(sized, "key").select("key", "few", "rep", every("s").alias("i"), dealt("m").alias("j"), F.lit(False).alias("stray"))
 
     def near(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["stray"]], rows[~rows["stray"]]
         out_u, out_v = [], []
-        if len(a) and len(b):
+        for _, g in rows.groupby("key", sort=False):
+            a, b = g[g["stray"]], g[~g["stray"]]
             table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), BINS).astype(np.int16)
             reps, words, c = (b[n].to_numpy() for n in ("rep", "words", "c"))
             for rep, n, own, comp in zip(a["rep"], a["words"], a["bag"], a["c"], strict=True):
@@ -214,17 +230,18 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
                 out_v.append(np.maximum(reps[at], rep))
         return pd.DataFrame({"u": np.concatenate(out_u), "v": np.concatenate(out_v)} if out_u else {"u": [], "v": []})
 
-    return left.union(right).join(of, "rep").groupBy("key", "i", "j").applyInPandas(near, "u long, v long").distinct()
+    both = left.union(right).withColumn("g", F.when(F.col("few"), F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.col("key")))
+    return both.join(of, "rep").groupBy("g", "few", "i", "j").applyInPandas(near, "u long, v long").distinct()
 
 
-def _links(keyed: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _links(keyed: DataFrame, texts_of, similarity: float) -> DataFrame:
     """u, v: links that connect any two similar texts that share a bucket of keyed (key, rep)."""
     told, strays, rest = None, None, keyed
     while True:
         met = materialize(_candidates(rest), "bucket-pairs")
         pairs = met.select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
         pairs = materialize(pairs if told is None else pairs.join(told.select("u", "v"), ["u", "v"], "leftanti"), "pairs")
-        links = materialize(_verified(pairs, _texts(docs, pairs), similarity), "alignments")
+        links = materialize(_verified(pairs, texts_of(pairs), similarity), "alignments")
         told = links if told is None else told.union(links)
         failed = told.where(~F.col("same")).select(F.col("u").alias("lead"), F.col("v").alias("rep"))
         rest = materialize(met.join(failed, ["lead", "rep"]).select("key", "rep"), "failed")
@@ -239,31 +256,38 @@ def _links(keyed: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     nodes = materialize(components(edges), "connected")
     hit = materialize(strays.select("key").distinct(), "stray-buckets")
     keyed = materialize(keyed.join(small(hit, 16), "key", "leftsemi"), "stray-members")
-    texts = _texts(docs, keyed.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
+    texts = texts_of(keyed.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
     pairs = _rest(strays, keyed, texts, nodes, similarity).join(told.select("u", "v"), ["u", "v"], "leftanti")
     pairs = materialize(pairs, "pairs-rest")
     more = materialize(_verified(pairs, texts, similarity), "alignments-rest")
     return edges.union(more.where("same").select("u", "v"))
 
 
-def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 24, picks: int = 3) -> DataFrame:
-    """doc_id, component_id, group_size, kept: one row per row of docs."""
-    rows = materialize(sketched(docs, k, sketches, picks), "order-minhash")
-    classes = rows.where(F.size("keys") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = rows.where(F.size("keys") > 0).join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "digest", "keys")
-    keyed = materialize(reps.select("rep", F.explode("keys").alias("key")), "order-buckets")
-    edges = _links(keyed, docs, similarity)
-    nodes = components(edges)
-    of = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    told = materialize(rows.select("doc_id", "digest", (F.size("keys") > 0).alias("words")).join(of, "digest", "left"), "near-classes")
-    told = told.withColumn("component_id", F.when(F.col("words"), F.col("component_id")).otherwise(F.col("doc_id")))
-    sizes = materialize(told.where("words").groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group-sizes")
-    out = told.join(small(sizes, 24), "component_id", "left")
-    return out.select("doc_id", "component_id", F.when(F.col("words"), F.coalesce("n", F.lit(1))).otherwise(F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
-
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the classes that occur in pairs, by the class's doc_id."""
-    wanted = materialize(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct(), "wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialize(rows.join(small(wanted, 16), "rep", "leftsemi").groupBy("rep").agg(F.max("text").alias("text")), "texts")
+def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 72, picks: int = 2, row_col: str | None = None) -> DataFrame:
+    """doc_id, component_id, group_size, kept (and row, if row_col names a unique row number): one row per row of docs."""
+    rows = materialize(sketched(docs, k, sketches, picks, row_col), "order-minhash")
+    worded = rows.where(F.size("keys") > 0)
+    classes = materialize(worded.groupBy("digest").agg(F.min("row").alias("rep")), "text-classes")
+    reps = worded.join(classes.select(F.col("rep").alias("row")), "row", "leftsemi")
+    keyed = materialize(reps.select(F.col("row").alias("rep"), F.explode("keys").alias("key")), "order-buckets")
+    edges = _links(keyed, lambda pairs: _texts(docs, classes, pairs), similarity)
+    of = classes.join(components(edges), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
+    told = materialize(worded.select("row", "doc_id", "digest").join(of, "digest"), "near-classes")
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "digest", "row"))
+    groups = told.groupBy("c").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
+    groups = materialize(groups.select("c", F.col("n").alias("group_size"), F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("stays")), "groups")
+    in_group = F.col("stays").isNotNull()
+    out = told.join(small(groups, 40), "c", "left").select(
+        "doc_id", F.when(in_group, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (~in_group | (F.col("row") == F.col("stays"))).alias("kept"), "row",
+    )
+    alone = rows.where(F.size("keys") == 0).select("doc_id", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "row")
+    return out.union(alone) if row_col else out.union(alone).drop("row")
+
+
+def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the classes that occur in pairs, by the class's number (rep)."""
+    wanted = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct().join(classes, "rep")
+    wanted = materialize(wanted, "wanted")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+    return materialize(rows.join(small(wanted, 110), "digest").groupBy("rep").agg(F.max("text").alias("text")), "texts")
