@@ -7,53 +7,59 @@ this in an array fold, and the residual of each bucket meets others one level up
 until one document of each source is left and goes to the nearer whole number. Expected copies are kept (but for that
 last document) and a source's words differ from its target by at most half its last document.
 
+Rows that agree in id, source and size are counted first and then numbered, so that each has a hash of its own: buckets are
+bounded whatever is repeated. Sources are ranked and filled up to the water level by sums over ranges, not in one task.
+
 Defined results: a null or blank text has size 0 and takes nothing; the null source comes last; repeated rows are
-rounded one by one; an empty table gives an empty result. Random numbers are hashes of the identifiers, so reruns agree.
+rounded one by one, null ids like others; an empty table gives an empty result; extra columns are ignored. Random numbers are
+hashes of the identifiers, so reruns agree.
 Only DataFrame and SQL functions run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, row_numbers, running, small
 
 #: Fixed value: what separates words is ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-ITEM = "struct<k:bigint,id:bigint,size:bigint,x:double>"
-DONE = "array<struct<id:bigint,size:bigint,up:int>>"
+ITEM = "struct<k:bigint,id:bigint,nth:bigint,size:bigint,x:double>"
+DONE = "array<struct<id:bigint,nth:bigint,size:bigint,up:int>>"
+#: Repeated rows are numbered in runs of so many.
+RUN = 1000
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
     """(source, source_size) -> (source, source_size, target).
 
-    One row per source is ranked in one task. The level L with target = min(cap * size, L * weight) is found in closed
-    form: sources in the order in which they reach their cap, running sums of caps before and of weights after.
+    The level L with target = min(cap * size, L * weight) is found in closed form: sources in the order in which they reach
+    their cap, running sums of caps before and of weights after.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    t = sizes.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    t = t.withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after))
+    named = row_numbers(sizes, [F.col("source").asc_nulls_last()], "place")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    t = named.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    t = running(t, [(F.col("most") / F.col("w")).asc(), F.col("place").asc()], {"caps": F.col("most"), "weights": F.col("w")})
+    t = materialize(t, "levels")
+    whole = t.agg(F.sum("source_size"), F.sum("w")).first()
+    level = (F.lit(float(whole[0] or 0)) - (F.col("caps") - F.col("most"))) / (F.lit(float(whole[1] or 1)) - (F.col("weights") - F.col("w")))
     # The first source that the level of its own place leaves under its cap fixes the level; later places give lower ones.
-    t = t.withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level"))).over(whole))
-    return t.select("source", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))
+    top = t.agg(F.max(F.when(level * F.col("w") <= F.col("most"), level))).first()[0]
+    target = F.col("most") if top is None else F.least("most", F.lit(top) * F.col("w"))
+    return t.select("source", "source_size", target.alias("target"))
 
 
 def _fold(seed: int) -> str:
     """SQL that folds the array `items` pairwise into (c: the document left over, d: those decided)."""
-    unit = f"shiftrightunsigned(xxhash64(s.c.k, s.c.id, e.k, e.id, {seed}L), 11) / 9007199254740992D"
+    unit = f"shiftrightunsigned(xxhash64(s.c.k, s.c.id, s.c.nth, e.k, e.id, e.nth, {seed}L), 11) / 9007199254740992D"
     moves = (
         "named_struct('up', least(s.c.size * (1D - s.c.x), e.size * e.x),"
         f" 'down', least(s.c.size * s.c.x, e.size * (1D - e.x)), 'u', {unit})"
     )
-    to = lambda v, x: f"named_struct('k', {v}.k, 'id', {v}.id, 'size', {v}.size, 'x', {x})"
-    one = lambda v, up: f"named_struct('id', {v}.id, 'size', {v}.size, 'up', {up})"
+    to = lambda v, x: f"named_struct('k', {v}.k, 'id', {v}.id, 'nth', {v}.nth, 'size', {v}.size, 'x', {x})"
+    one = lambda v, up: f"named_struct('id', {v}.id, 'nth', {v}.nth, 'size', {v}.size, 'up', {up})"
     pair = lambda rest, done: f"named_struct('c', {rest}, 'd', {done})"
     step = (
         "CASE WHEN m.u * (m.up + m.down) < m.down THEN"
@@ -73,14 +79,26 @@ def _fold(seed: int) -> str:
     )
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 17, fan_in: int = 64) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies: one row per row of docs."""
-    sized = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
-        "sizes",
-    )
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    plan = targets(sums, weights, cap).join(sums.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
+def _sized(docs: DataFrame, row_col: str | None) -> DataFrame:
+    """doc_id, source, size, nth: one row per row of docs; nth numbers the rows that agree in all three, or is row_col."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")]
+    if row_col is not None:
+        return materialize(docs.select(*keys, size, F.col(row_col).cast("long").alias("nth")), "sizes")
+    times = materialize(docs.select(*keys, size).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "repeats")
+    runs = times.where(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    dealt = runs.repartition("doc_id", "source", "size", "run")
+    last = F.least(F.col("n"), (F.col("run") + 1) * RUN)
+    many = dealt.select("doc_id", "source", "size", F.explode(F.sequence(F.col("run") * RUN + 1, last)).alias("nth"))
+    few = times.where(F.col("n") <= RUN).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    return few.union(many)
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 17, fan_in: int = 64, row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies (and row, if row_col names a unique row number): one row per row of docs."""
+    sized = _sized(docs, row_col)
+    sums = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "source-sums")
+    plan = targets(sums.select("source", "source_size"), weights, cap).join(sums.select(F.col("source").alias("s2"), "n"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     plan = materialize(
         plan.withColumn("r", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)).select(
             F.col("source").alias("of"), "source_size", "target", F.floor("r").alias("whole"), (F.col("r") - F.floor("r")).alias("x"),
@@ -92,26 +110,29 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 17, fa
     rows = sized.join(small(plan, 200), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     keys = ["source", "source_size", "target", "whole"]
     open_ = (F.col("size") > 0) & (F.col("x") > 1e-12) & (F.col("x") < 1 - 1e-12)
-    settled = [rows.where(~open_).select("doc_id", *keys, "size", F.round("x").cast("int").alias("up"))]
-    key = F.xxhash64("doc_id", "size", F.lit(seed))
-    level = rows.where(open_).select(*keys, F.pmod(key, F.col("buckets")).alias("bucket"), key.alias("k"), F.col("doc_id").alias("id"), "size", "x")
+    settled = [rows.where(~open_).select("doc_id", "nth", *keys, "size", F.round("x").cast("int").alias("up"))]
+    key = F.xxhash64("doc_id", "size", "nth", F.lit(seed))
+    level = rows.where(open_).select(*keys, F.pmod(key, F.col("buckets")).alias("bucket"), key.alias("k"), F.col("doc_id").alias("id"), "nth", "size", "x")
     while most > 0:
         folded = (
-            level.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list(F.struct("k", "id", "size", "x"))).alias("items"))
+            level.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list(F.struct("k", "id", "nth", "size", "x"))).alias("items"))
             .select(*keys, "bucket", F.expr(_fold(seed)).alias("f"))
         )
-        left = F.when(F.isnotnull("f.c"), F.array(F.struct(F.col("f.c.id").alias("id"), F.col("f.c.size").alias("size"), F.lit(None).cast("int").alias("up"), F.col("f.c.x").alias("x"), F.col("f.c.k").alias("k"))))
-        done = F.transform("f.d", lambda d: F.struct(d["id"].alias("id"), d["size"].alias("size"), d["up"].alias("up"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("long").alias("k")))
-        both = folded.select(*keys, "bucket", F.explode(F.concat(done, F.coalesce(left, F.array().cast("array<struct<id:bigint,size:bigint,up:int,x:double,k:bigint>>")))).alias("o"))
+        none = F.lit(None)
+        left = F.when(F.isnotnull("f.c"), F.array(F.struct(*[F.col(f"f.c.{n}").alias(n) for n in ("id", "nth", "size")], none.cast("int").alias("up"), F.col("f.c.x").alias("x"), F.col("f.c.k").alias("k"))))
+        done = F.transform("f.d", lambda d: F.struct(d["id"].alias("id"), d["nth"].alias("nth"), d["size"].alias("size"), d["up"].alias("up"), none.cast("double").alias("x"), none.cast("long").alias("k")))
+        nothing = F.array().cast("array<struct<id:bigint,nth:bigint,size:bigint,up:int,x:double,k:bigint>>")
+        both = folded.select(*keys, "bucket", F.explode(F.concat(done, F.coalesce(left, nothing))).alias("o"))
         told = materialize(both.select(*keys, "bucket", "o.*"), "pivots")
-        settled.append(told.where("up is not null").select(F.col("id").alias("doc_id"), *keys, "size", "up"))
-        level = told.where("up is null").select(*keys, F.floor(F.col("bucket") / fan_in).alias("bucket"), "k", "id", "size", "x")
+        settled.append(told.where("up is not null").select(F.col("id").alias("doc_id"), "nth", *keys, "size", "up"))
+        level = told.where("up is null").select(*keys, F.floor(F.col("bucket") / fan_in).alias("bucket"), "k", "id", "nth", "size", "x")
         if most == 1:
-            settled.append(level.select(F.col("id").alias("doc_id"), *keys, "size", F.round("x").cast("int").alias("up")))
+            settled.append(level.select(F.col("id").alias("doc_id"), "nth", *keys, "size", F.round("x").cast("int").alias("up")))
             break
         most = -(-most // fan_in)
     out = settled[0]
     for part in settled[1:]:
         out = out.union(part)
     copies = (F.col("whole") + F.col("up")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    told = ["doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")]
+    return out.select(*told, F.col("nth").alias("row")) if row_col else out.select(*told)
