@@ -100,7 +100,7 @@ ORACLE_SQL = {
                           max(page_id) OVER (PARTITION BY h0) AS first FROM p)
         SELECT page_id, url, payload_bytes, {_BASE32} AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> first THEN first END AS refers_to
+               CASE WHEN page_id <> first THEN first END AS refers_to, true AS whole
         FROM d
     """,
 }
