@@ -2,31 +2,30 @@
 
 Documents are tokenized on the executors and only narrow piece rows leave them. Packing depends on lengths alone, and
 there are at most `capacity` of them, so the whole instance is a histogram: the driver reduces it by dominance (sets of
-one or two pieces that some best packing contains are fixed, as many at a time as the counts allow), packs the rest
+one to three pieces that some best packing contains are fixed, as many at a time as the counts allow), packs the rest
 best-fit by falling length, and gets a list of sequence patterns with how often each occurs. The list is bounded by the
-capacity, not by the data. Each piece then gets its rank within its length (counted by hashed buckets, so that no length
-meets in one task) and the pattern that holds this rank.
+capacity, not by the data. Each piece then gets its rank within its length (counted by hashed buckets of some bucket_rows
+rows, more for a common length, so that no length meets in one task) and the pattern that holds this rank.
 
 Defined results: a null text is empty and gives the one token that ends a document; only documents over the capacity
-are cut, the first piece being the shorter one; repeated rows are packed each by itself; an empty table gives an empty
-result; extra columns are ignored.
+are cut, the first piece being the shorter one; repeated rows, those with equal or null ids too, are packed each by itself; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
-import json
+import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 END = 2
 CACHE = 300_000
@@ -34,53 +33,50 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Token ids as little-endian unsigned 32-bit bytes, by the ranks of a byte-level vocabulary.
+    """Token ids as little-endian unsigned 32-bit bytes, by a tokenizer file of the `tokenizers` library without special tokens.
 
-    Texts without runs of white space are encoded space by space through a dictionary of at most CACHE entries; ids are
-    the same as those of the whole text, since such a space always begins a token. Other texts are encoded whole. The added
-    tokens that the vocabulary's JSON lists beside the ranks are cut out first and have their own ids.
+    The vocabulary's tokens never reach over the border between a word and the white space after it, so texts are encoded
+    chunk by chunk (a space with the word after it, or a run of white space) through a dictionary of at most CACHE entries;
+    ids are the same as those of the whole text. Texts with added tokens or control characters that not all libraries
+    take for white space are encoded whole.
     """
 
-    def __init__(self, ranks_path: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.raw = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        listed = Path(ranks_path).with_suffix(".json")
-        added = json.loads(listed.read_text("utf-8")).get("added_tokens", []) if listed.exists() else []
-        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in added}
-        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
+        self.raw = Tokenizer.from_file(path)
+        added = [t.content for t in self.raw.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, added)]))
+        self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
         self.known: dict[str, bytes] = {}
-        self.runs = re.compile(r"\s\s|\s$")
+        self.runs = re.compile(r"\s\s|[^\S ]|\s$")
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self.raw.encode_ordinary(text), "<u4").tobytes()
+        return np.asarray(self.raw.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if self.cuts is None or not self.cuts.search(text):
-            return self._plain(text)
-        return b"".join(self.added.get(t) or self._plain(t) for t in self.cuts.split(text) if t)
-
-    def _plain(self, text: str) -> bytes:
-        if self.runs.search(text):
+        if self.whole.search(text):
             return self._encode(text)
-        first, *words = text.split(" ")
-        found = list(map(self.known.get, words))
+        if self.runs.search(text):
+            chunks = self.chunks(text)
+        else:
+            first, *words = text.split(" ")
+            chunks = [first, *(" " + w for w in words)]
+        found = list(map(self.known.get, chunks))
         if None in found:
-            for i, (word, ids) in enumerate(zip(words, found, strict=True)):
+            for i, (chunk, ids) in enumerate(zip(chunks, found, strict=True)):
                 if ids is None:
-                    found[i] = ids = self._encode(" " + word)
-                    if len(self.known) < CACHE and len(word) < 40:
-                        self.known[word] = ids
-        return self._encode(first) + b"".join(found)
+                    found[i] = ids = self._encode(chunk)
+                    if len(self.known) < CACHE and len(chunk) < 40:
+                        self.known[chunk] = ids
+        return b"".join(found)
 
 
-def encoder(ranks_path: str) -> PieceEncoder:
-    if ranks_path not in _ENCODERS:
-        _ENCODERS[ranks_path] = PieceEncoder(ranks_path)
-    return _ENCODERS[ranks_path]
+def encoder(path: str) -> PieceEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -89,11 +85,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenized(docs: DataFrame, ranks_path: str, capacity: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(ranks_path)
+        encode = encoder(path)
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
@@ -108,31 +104,52 @@ def tokenized(docs: DataFrame, ranks_path: str, capacity: int) -> DataFrame:
 def reduce_instance(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Fix dominating sets of the histogram (counts[length], changed in place); returns [(lengths, times)].
 
-    For the largest piece j, with i the largest other piece that fits beside it: j alone is best if nothing fits; j with i
-    is best if they fill the sequence, or if no two other pieces together are both feasible beside j and larger than i
-    (any set with j can then be exchanged for {j, i}). Stops at the first j where neither holds and goes on with smaller
-    ones only for exact fills, which hold for every piece.
+    For each piece j, from the largest, with i the largest other piece that fits beside it:
+    j alone is best if nothing fits; j with i is best if they fill the sequence, if no two other pieces fit beside j at once,
+    or if no three do and no two make up more than i; where no three do and the best two, a and b, hold i, j with
+    both is best unless two pieces that are larger than b, other than i, fit beside j too. In each case any set with j can be
+    exchanged for the one that is fixed without more sequences. The search goes on with the next length where none holds.
+    What holds depends on no more than four pieces of a length, so many sets are fixed at once while more than that are left.
     """
     fixed = []
+
+    def fix(*lengths: int) -> None:
+        uses = Counter(lengths)
+        times = max(1, min((int(counts[w]) - 4) // k for w, k in uses.items()))
+        for w, k in uses.items():
+            counts[w] -= k * times
+        fixed.append((lengths, times))
+
     for j in range(capacity, 0, -1):
         while counts[j]:
             room = capacity - j
             counts[j] -= 1
             fit = np.flatnonzero(counts[: room + 1])
+            few = np.repeat(fit, np.minimum(counts[fit], 4))  # rising, each length up to four times
             counts[j] += 1
-            if not len(fit):
+            if not len(few):
                 fixed.append(((j,), int(counts[j])))
                 counts[j] = 0
                 continue
-            i = int(fit[-1])
-            low = int(fit[0])
-            second = low if counts[low] - (low == j) >= 2 else (int(fit[1]) if len(fit) > 1 else room + 1)
-            if i != room and low + second <= room:
+            i = int(few[-1])
+            if i == room or len(few) < 2 or few[0] + few[1] > room:
+                fix(j, i)
+                continue
+            if len(few) >= 3 and few[0] + few[1] + few[2] <= room:
+                break
+            at = np.searchsorted(few, room - few, "right") - 1  # the largest partner of each, at another place
+            at = np.where(at >= np.arange(len(few)), np.minimum(at, np.arange(len(few)) - 1), at)
+            pair = np.where(at >= 0, few + few[np.maximum(at, 0)], 0)
+            most = int(pair.max())
+            if i >= most:
+                fix(j, i)
+                continue
+            b = most - i
+            others = few[:-1]
+            larger = others[others > b][:2]
+            if b not in others or len(larger) == 2 and larger.sum() <= room:
                 break
-            times = int(counts[j] // 2 if i == j else min(counts[j], counts[i]))
-            fixed.append(((j, i), times))
-            counts[j] -= times
-            counts[i] -= times
+            fix(j, i, b)
     return fixed
 
 
@@ -189,17 +206,17 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {w: np.array(r, np.int64) for w, r in rows.items()}
 
 
-def pack(docs: DataFrame, ranks_path: str, capacity: int = 1024, bucket_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, bucket_rows: int = 500) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialize(tokenized(docs, ranks_path, capacity), "pieces")
+    pieces = materialize(tokenized(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     where = slots(patterns(histogram, capacity))
-    buckets = max(1, -(-sum(histogram.values()) // bucket_rows))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    per = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = docs.sparkSession.createDataFrame([(w, -(-n // bucket_rows)) for w, n in histogram.items()], "length long, buckets long")
+    keyed = pieces.join(F.broadcast(sizes), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("buckets")
+    per = materialize(keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "length-buckets")
     first = per.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = keyed.withColumn("nth", F.row_number().over(own)).join(first, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    own = Window.partitionBy("length", "bucket").orderBy("row")
+    ranked = keyed.withColumn("nth", F.row_number().over(own)).join(small(first, 32), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

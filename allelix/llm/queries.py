@@ -11,11 +11,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ranks() -> str:
-    """The vocabulary of byte_bpe_50k.json in the form of ranks; ids are equal."""
+def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), ranks())
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

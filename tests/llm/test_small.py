@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelix.llm import exact_dedup, html_extraction, language, license_scan, mixing, near_dedup, packing, sharding
-from allelix.llm.queries import ranks
+from allelix.llm.queries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int"
 
@@ -57,10 +57,10 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.encoder(ranks())
+    encode = packing.encoder(vocabulary())
     for x in ["", "a", " a  b\n\nc ", "it's 12 3½ über\tx", "a   b", "end "]:
         assert [int.from_bytes(encode(x)[i : i + 4], "little") for i in range(0, len(encode(x)), 4)] == t.encode(x, add_special_tokens=False).ids
-    got = packing.pack(docs(spark, [(1, "word " * 50, "s"), (2, None, "s"), (3, "long text " * 40, "s"), (3, "long text " * 40, "s")]), ranks(), 32).collect()
+    got = packing.pack(docs(spark, [(1, "word " * 50, "s"), (2, None, "s"), (3, "long text " * 40, "s"), (3, "long text " * 40, "s")]), vocabulary(), 32).collect()
     by = {}
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
