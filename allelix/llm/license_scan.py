@@ -114,7 +114,9 @@ def _scan(docs: DataFrame, templates: dict[str, str], containment: float, k: int
     cuts = materialize(cuts.select("doc_id", F.flatten("w").alias("w")), "windows").select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.*")
     keyed = cuts.select("doc_id", "m", "start", "grams", F.posexplode(_bands(F.col("grams"), bands)).alias("band", "key"))
     wanted = known.select("license", "of", F.size("of").alias("m"), F.posexplode(_bands(F.col("of"), bands)).alias("band", "key"))
-    met = keyed.join(F.broadcast(wanted), ["m", "band", "key"])  # a row for each band of each template
+    met = keyed.join(F.broadcast(wanted), ["m", "band", "key"])  # a row for each band of each template, which are a parameter
+    # A window that met a template in several bands is verified once; its bands are rows of one task, so they end there.
+    met = met.groupBy("doc_id", "license", "start").agg(F.first("grams").alias("grams"), F.first("of").alias("of"))
     share = F.size(F.array_intersect("of", "grams")) / F.size("of")
     verified = met.select("doc_id", "license", "start", F.size("grams").alias("n"), share.alias("share")).where(F.col("share") >= containment)
     best = verified.groupBy("doc_id", "license").agg(F.max(F.struct("share", (-F.col("start")).alias("start"), "n")).alias("b"))
