@@ -7,18 +7,18 @@ this in an array fold, and the residual of each bucket meets others one level up
 until one document of each source is left and goes to the nearer whole number. Expected copies are kept (but for that
 last document) and a source's words differ from its target by at most half its last document.
 
-Rows that agree in id, source and size are counted first and then numbered, so that each has a hash of its own: buckets are
-bounded whatever is repeated. Sources are ranked and filled up to the water level by sums over ranges, not in one task.
+Rows that agree in all that is read of them are counted first and then numbered, so that each has a hash of its own: buckets
+are bounded whatever is repeated. Sources are ranked and filled up to the water level by sums over ranges, not in one task.
 
 Defined results: a null or blank text has size 0 and takes nothing; the null source comes last; repeated rows are
 rounded one by one, null ids like others; an empty table gives an empty result; extra columns are ignored. Random numbers are
-hashes of the identifiers, so reruns agree.
+hashes of the rows' values, so reruns agree, in whatever order the rows come.
 Only DataFrame and SQL functions run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, row_numbers, running, small
@@ -26,8 +26,8 @@ from .common import materialize, row_numbers, running, small
 #: Fixed value: what separates words is ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-ITEM = "struct<k:bigint,id:bigint,nth:bigint,size:bigint,x:double>"
-DONE = "array<struct<id:bigint,nth:bigint,size:bigint,up:int>>"
+ITEM = "struct<k:bigint,id:bigint,row:bigint,size:bigint,x:double>"
+DONE = "array<struct<id:bigint,row:bigint,size:bigint,up:int>>"
 #: Repeated rows are numbered in runs of so many.
 RUN = 1000
 
@@ -53,13 +53,13 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> DataFrame:
 
 def _fold(seed: int) -> str:
     """SQL that folds the array `items` pairwise into (c: the document left over, d: those decided)."""
-    unit = f"shiftrightunsigned(xxhash64(s.c.k, s.c.id, s.c.nth, e.k, e.id, e.nth, {seed}L), 11) / 9007199254740992D"
+    unit = f"shiftrightunsigned(xxhash64(s.c.k, e.k, {seed}L), 11) / 9007199254740992D"
     moves = (
         "named_struct('up', least(s.c.size * (1D - s.c.x), e.size * e.x),"
         f" 'down', least(s.c.size * s.c.x, e.size * (1D - e.x)), 'u', {unit})"
     )
-    to = lambda v, x: f"named_struct('k', {v}.k, 'id', {v}.id, 'nth', {v}.nth, 'size', {v}.size, 'x', {x})"
-    one = lambda v, up: f"named_struct('id', {v}.id, 'nth', {v}.nth, 'size', {v}.size, 'up', {up})"
+    to = lambda v, x: f"named_struct('k', {v}.k, 'id', {v}.id, 'row', {v}.row, 'size', {v}.size, 'x', {x})"
+    one = lambda v, up: f"named_struct('id', {v}.id, 'row', {v}.row, 'size', {v}.size, 'up', {up})"
     pair = lambda rest, done: f"named_struct('c', {rest}, 'd', {done})"
     step = (
         "CASE WHEN m.u * (m.up + m.down) < m.down THEN"
@@ -80,18 +80,19 @@ def _fold(seed: int) -> str:
 
 
 def _sized(docs: DataFrame, row_col: str | None) -> DataFrame:
-    """doc_id, source, size, nth: one row per row of docs; nth numbers the rows that agree in all three, or is row_col."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")]
-    if row_col is not None:
-        return materialize(docs.select(*keys, size, F.col(row_col).cast("long").alias("nth")), "sizes")
-    times = materialize(docs.select(*keys, size).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "repeats")
-    runs = times.where(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
-    dealt = runs.repartition("doc_id", "source", "size", "run")
-    last = F.least(F.col("n"), (F.col("run") + 1) * RUN)
-    many = dealt.select("doc_id", "source", "size", F.explode(F.sequence(F.col("run") * RUN + 1, last)).alias("nth"))
-    few = times.where(F.col("n") <= RUN).select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
-    return few.union(many)
+    """doc_id, source, size, row, key: one row per row of docs. key hashes the row's values and, of rows with equal ones, its number among them."""
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row.alias("row"), F.xxhash64("text").alias("h"))
+    rows = materialize(rows.withColumn("key", F.xxhash64("doc_id", "source", "size", "h")).drop("h"), "sizes")
+    times = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats")
+    met = rows.join(small(times, 24), "key", "left").withColumn("run", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / RUN)))
+    per = materialize(met.where("n is not null").groupBy("key", "run").agg(F.count(F.lit(1)).alias("m")), "runs")
+    before = per.select("key", "run", (F.sum("m").over(Window.partitionBy("key").orderBy("run")) - F.col("m")).alias("before"))
+    own = Window.partitionBy("key", "run").orderBy("row")
+    nth = met.where("n is not null").withColumn("at", F.row_number().over(own)).join(small(before, 32), ["key", "run"]).withColumn("nth", F.col("before") + F.col("at"))
+    told = ["doc_id", "source", "size", "row"]
+    return met.where("n is null").select(*told, "key").union(nth.select(*told, F.xxhash64("key", "nth").alias("key")))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 17, fan_in: int = 64, row_col: str | None = None) -> DataFrame:
@@ -110,29 +111,29 @@ def mix(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int = 17, fa
     rows = sized.join(small(plan, 200), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     keys = ["source", "source_size", "target", "whole"]
     open_ = (F.col("size") > 0) & (F.col("x") > 1e-12) & (F.col("x") < 1 - 1e-12)
-    settled = [rows.where(~open_).select("doc_id", "nth", *keys, "size", F.round("x").cast("int").alias("up"))]
-    key = F.xxhash64("doc_id", "size", "nth", F.lit(seed))
-    level = rows.where(open_).select(*keys, F.pmod(key, F.col("buckets")).alias("bucket"), key.alias("k"), F.col("doc_id").alias("id"), "nth", "size", "x")
+    settled = [rows.where(~open_).select("doc_id", "row", *keys, "size", F.round("x").cast("int").alias("up"))]
+    key = F.xxhash64("key", F.lit(seed))
+    level = rows.where(open_).select(*keys, F.pmod(key, F.col("buckets")).alias("bucket"), key.alias("k"), F.col("doc_id").alias("id"), "row", "size", "x")
     while most > 0:
         folded = (
-            level.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list(F.struct("k", "id", "nth", "size", "x"))).alias("items"))
+            level.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list(F.struct("k", "id", "row", "size", "x"))).alias("items"))
             .select(*keys, "bucket", F.expr(_fold(seed)).alias("f"))
         )
         none = F.lit(None)
-        left = F.when(F.isnotnull("f.c"), F.array(F.struct(*[F.col(f"f.c.{n}").alias(n) for n in ("id", "nth", "size")], none.cast("int").alias("up"), F.col("f.c.x").alias("x"), F.col("f.c.k").alias("k"))))
-        done = F.transform("f.d", lambda d: F.struct(d["id"].alias("id"), d["nth"].alias("nth"), d["size"].alias("size"), d["up"].alias("up"), none.cast("double").alias("x"), none.cast("long").alias("k")))
-        nothing = F.array().cast("array<struct<id:bigint,nth:bigint,size:bigint,up:int,x:double,k:bigint>>")
+        left = F.when(F.isnotnull("f.c"), F.array(F.struct(*[F.col(f"f.c.{n}").alias(n) for n in ("id", "row", "size")], none.cast("int").alias("up"), F.col("f.c.x").alias("x"), F.col("f.c.k").alias("k"))))
+        done = F.transform("f.d", lambda d: F.struct(d["id"].alias("id"), d["row"].alias("row"), d["size"].alias("size"), d["up"].alias("up"), none.cast("double").alias("x"), none.cast("long").alias("k")))
+        nothing = F.array().cast("array<struct<id:bigint,row:bigint,size:bigint,up:int,x:double,k:bigint>>")
         both = folded.select(*keys, "bucket", F.explode(F.concat(done, F.coalesce(left, nothing))).alias("o"))
         told = materialize(both.select(*keys, "bucket", "o.*"), "pivots")
-        settled.append(told.where("up is not null").select(F.col("id").alias("doc_id"), "nth", *keys, "size", "up"))
-        level = told.where("up is null").select(*keys, F.floor(F.col("bucket") / fan_in).alias("bucket"), "k", "id", "nth", "size", "x")
+        settled.append(told.where("up is not null").select(F.col("id").alias("doc_id"), "row", *keys, "size", "up"))
+        level = told.where("up is null").select(*keys, F.floor(F.col("bucket") / fan_in).alias("bucket"), "k", "id", "row", "size", "x")
         if most == 1:
-            settled.append(level.select(F.col("id").alias("doc_id"), "nth", *keys, "size", F.round("x").cast("int").alias("up")))
+            settled.append(level.select(F.col("id").alias("doc_id"), "row", *keys, "size", F.round("x").cast("int").alias("up")))
             break
         most = -(-most // fan_in)
     out = settled[0]
     for part in settled[1:]:
         out = out.union(part)
-    copies = (F.col("whole") + F.col("up")).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("up")).otherwise(0).cast("long")
     told = ["doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")]
-    return out.select(*told, F.col("nth").alias("row")) if row_col else out.select(*told)
+    return out.select(*told, "row") if row_col else out.select(*told)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small
 
 END = 2
-CACHE = 300_000
+CACHE = 500_000
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 

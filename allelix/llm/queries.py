@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup, exact_dedup, html_extraction, language, license_scan, mixing, near_dedup, packing, sharding, warc
+from .common import finished, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,44 +18,53 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _whole(spark: SparkSession, name: str, make) -> DataFrame:
+    """The written result of an operator; the tables that it made on the way are removed."""
+    with scratch(spark):
+        return finished(make(), name)
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of host paths, a row a host, stays until the result has been read."""
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents"))
+    return _whole(spark, "op2_license_scan", lambda: license_scan.scan(_table(spark, sf_dir, "documents")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return _whole(spark, "op3_mixing", lambda: mixing.mix(_table(spark, sf_dir, "documents")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+    return _whole(spark, "op4_exact_dedup", lambda: exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.near_dedup(_table(spark, sf_dir, "embeddings"))
+    return _whole(spark, "op5_embedding_dedup", lambda: embedding_dedup.near_dedup(_table(spark, sf_dir, "embeddings")))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store is the output and stays."""
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(_table(spark, sf_dir, "pages"))
+    return _whole(spark, "op7_warc", lambda: warc.archive(_table(spark, sf_dir, "pages")))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+    return _whole(spark, "op8_packing", lambda: packing.pack(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only a row a language is written."""
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+    return _whole(spark, "op10_near_dedup", lambda: near_dedup.near_groups(_table(spark, sf_dir, "documents")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
