@@ -1,6 +1,12 @@
 """A training corpus from raw documents, stage by stage; each stage reads the table that the one before it wrote.
 
 All stages but the last return the columns of documents. Rows are whole documents; copies that the mix takes are rows.
+Stages that drop or repeat rows number the rows of their input first, and decide by these numbers, so that rows with equal or
+null ids, and equal rows, are told apart.
+
+Defined results: a null text has no language and goes in the first stage; given to a later stage, it counts as empty in exact
+dedup and packing, is kept as it is by near dedup, and is not taken by the mix; rows that share an id are rows of their own;
+repeated rows are copies of each other; an empty table stays empty; extra columns are kept up to the mix.
 """
 
 from __future__ import annotations
@@ -9,8 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.llm import exact_dedup, language, mixing, near_dedup, packing
-from allelix.llm.common import materialize, scratch, shared_dir, small
-from allelix.llm.queries import ranks
+from allelix.llm.common import finished, numbered, scratch, shared_dir, small
+from allelix.llm.queries import vocabulary
+
+ROW = "__row"
+
+
+def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows (with ROW) whose numbers aren't in gone (row)."""
+    return rows.join(small(gone.select(F.col("row").alias(ROW)), 16), ROW, "leftanti").select(*columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,54 +34,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
     with scratch(spark):
-        told = materialize(exact_dedup.exact_dedup(docs), "exact", keep=True)
-    gone = told.where("not kept")
-    sha = exact_dedup.sha256(F.coalesce("text", F.lit("")))
-    # Rows of one id and one text can't be told apart by a join: of those one is made anew.
-    twice = materialize(gone.where("doc_id = keep_id").select("doc_id", F.col("text_sha256").alias("__sha")).distinct(), "repeated")
-    gone = materialize(gone.select("doc_id", F.col("text_sha256").alias("__sha")).distinct(), "gone")
-    left = docs.withColumn("__sha", sha).join(small(gone, 120), ["doc_id", "__sha"], "leftanti")
-    if not twice.isEmpty():
-        again = docs.withColumn("__sha", sha).join(small(twice, 120), ["doc_id", "__sha"], "leftsemi")
-        left = left.unionByName(again.dropDuplicates(["doc_id", "__sha"]))
-    return left.select(*docs.columns)
+        rows = numbered(docs, ROW)
+        gone = exact_dedup.exact_dedup(rows, row_col=ROW).where("not kept").select("row")
+        return finished(_without(rows, gone, docs.columns), "exact")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
     with scratch(spark):
-        gone = materialize(near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct(), "near", keep=True)
-    return docs.join(small(gone, 24), "doc_id", "leftanti").select(*docs.columns)
+        rows = numbered(docs, ROW)
+        gone = near_dedup.near_groups(rows, row_col=ROW).where("not kept").select("row")
+        return finished(_without(rows, gone, docs.columns), "near")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document occurs as often as the mix takes it; documents that it doesn't take go."""
-    keyed = [F.col("doc_id"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("size")]
     with scratch(spark):
-        told = mixing.mix(docs).select("doc_id", "source", "size", "copies")
-        told = told.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows"))
-        told = told.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "n", "rows")
-        told = materialize(told, "mixed", keep=True)
-    rows = docs.withColumn("__size", keyed[2])
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
-    taken = rows.join(small(told, 60), same).withColumn("__copies", F.ceil(F.col("n") / F.col("rows")).cast("int"))
-    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+        rows = numbered(docs, ROW)
+        told = mixing.mix(rows, row_col=ROW).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("__copies"))
+        taken = rows.join(told, ROW).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+        return finished(taken.select(*docs.columns), "mix")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, ranks())
+    """The pieces of every document and their places in sequences."""
+    with scratch(spark):
+        return finished(packing.pack(docs, vocabulary()), "pack")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 
-#: Learned, random and tokenizer-bound stages have no SQL; tests hold them against brute force.
+#: Learned, random and tokenizer-bound stages have no SQL; tests/llm/test_pipeline.py holds each against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = shared_dir(spark, f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}", keep=True)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
