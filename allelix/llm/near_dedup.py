@@ -24,7 +24,6 @@ empty result; extra columns are ignored. Whole texts are read.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +35,9 @@ from pyspark.sql import functions as F
 from .common import components, materialize, small
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x5851F42D4C957F2D)
+UNBASE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))  # BASE * UNBASE is 1 in 64 bits
+_powers, _inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 BINS = 256
 
@@ -45,10 +47,23 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
 
 
+def word_hashes(words: list[str], at_once: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in its bytes, made for all words at once."""
+    global _powers, _inverse
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(words), at_once):  # bounds memory for long texts
+        b = np.frombuffer((" ".join(words[at : at + at_once]) + " ").encode("utf-8", "replace"), np.uint8)
+        while len(_powers) < len(b):
+            _powers, _inverse = np.r_[_powers, _powers * _powers[-1] * BASE], np.r_[_inverse, _inverse * _inverse[-1] * UNBASE]
+        starts = np.r_[0, np.flatnonzero(b == 32)[:-1] + 1]
+        out.append(_mix(np.add.reduceat(b * _powers[: len(b)], starts) * _inverse[starts]))
+    return np.concatenate(out)
+
+
 def labelled_kmers(words: list[str], k: int, pad: int = 2) -> np.ndarray:
     """64-bit hashes of the k-mers with their occurrence numbers, in text order; pad empty words stand before and after the text."""
     w = np.full(len(words) + 2 * pad, 1 << 32, np.uint64)
-    w[pad : pad + len(words)] = np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in words), np.uint64, len(words))
+    w[pad : pad + len(words)] = word_hashes(words)
     k = min(k, len(w))
     h = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
@@ -183,7 +198,7 @@ def _candidates(keyed: DataFrame) -> DataFrame:
 
 def bag(words: list[str]) -> bytes:
     """How many words fall in each of BINS bins, 255 at most: no two texts' bags differ more than the texts do."""
-    n = np.bincount(np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in words), np.int64, len(words)) % BINS, minlength=BINS)
+    n = np.bincount((word_hashes(words) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
     return np.minimum(n, 255).astype(np.uint8).tobytes()
 
 
@@ -191,8 +206,13 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
     """u < v: the strays (key, rep) with every member of their buckets but those in the same component, less the pairs whose
     lengths or bags of words differ by more than the similarity allows, which can't link.
 
-    Strays and members of a bucket are dealt in blocks; a group is a block of either, so that pairs aren't rows.
+    Buckets with the same leader are taken together, since texts that meet in one of them mostly meet in several.
+    Strays and members are dealt in blocks; a group is a block of either, so that pairs aren't rows.
     """
+    lead = materialize(keyed.groupBy("key").agg(F.min("rep").alias("lead")), "leaders")
+    lead = small(lead, 24)
+    strays = materialize(strays.join(lead, "key").select(F.col("lead").alias("key"), "rep").distinct(), "strays-by-leader")
+    keyed = materialize(keyed.join(lead, "key").select(F.col("lead").alias("key"), "rep").distinct(), "members-by-leader")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
