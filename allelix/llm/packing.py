@@ -29,6 +29,9 @@ from .common import materialize, small
 
 END = 2
 CACHE = 500_000
+#: The pre-tokenizer's pattern for ASCII texts, and its letter for a space.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
+SPACE = "\u0120"
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -37,7 +40,8 @@ class PieceEncoder:
 
     The vocabulary's tokens never reach over the border between a word and the white space after it, so texts are encoded
     chunk by chunk (a space with the word after it, or a run of white space) through a dictionary of at most CACHE entries;
-    ids are the same as those of the whole text. Texts with added tokens or control characters that not all libraries
+    a new chunk is cut by the file's pre-tokenizer, and its parts go through a second such dictionary to the file's model.
+    Ids are the same as those of the whole text. Texts with added tokens or control characters that not all libraries
     take for white space are encoded whole.
     """
 
@@ -50,11 +54,28 @@ class PieceEncoder:
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, added)]))
         self.chunks = re.compile(r" ?\S+|\s+(?!\S)|\s").findall
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.cut, self.tokenize = self.raw.pre_tokenizer.pre_tokenize_str, self.raw.model.tokenize
+        if self.raw.normalizer is not None:
+            raise ValueError(f"{path} changes texts before it cuts them")
         self.runs = re.compile(r"\s\s|[^\S ]|\s$")
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.raw.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # cut as the pre-tokenizer does; the model knows a space by another letter
+            cut = [p.replace(" ", SPACE) for p in WORDS(chunk)] if chunk.isprintable() else [p for p, _ in self.cut(chunk)]
+        else:
+            cut = [p for p, _ in self.cut(chunk)]
+        found = list(map(self.parts.get, cut))
+        for i, part in enumerate(cut):
+            if found[i] is None:
+                found[i] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(part)])
+                if len(self.parts) < CACHE and len(part) < 40:
+                    self.parts[part] = found[i]
+        return b"".join(found)
+
     def __call__(self, text: str) -> bytes:
         if self.whole.search(text):
             return self._encode(text)
@@ -65,11 +86,11 @@ class PieceEncoder:
             chunks = [first, *(" " + w for w in words)]
         found = list(map(self.known.get, chunks))
         if None in found:
-            for i, (chunk, ids) in enumerate(zip(chunks, found, strict=True)):
-                if ids is None:
-                    found[i] = ids = self._encode(chunk)
-                    if len(self.known) < CACHE and len(chunk) < 40:
-                        self.known[chunk] = ids
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                chunk = chunks[i]
+                found[i] = ids = self._chunk(chunk)
+                if len(self.known) < CACHE and len(chunk) < 40:
+                    self.known[chunk] = ids
         return b"".join(found)
 
 
