@@ -219,7 +219,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.98, trees: int = 4, leaf
             n -= m  # itself
         return pd.DataFrame({"rep": g["rep"], "n": n})
 
-    linked = _blocked(joined, ["component"], block).groupBy("component", "p", "q").applyInPandas(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    linked = _blocked(joined, ["component"], block // 4).groupBy("component", "p", "q").applyInPandas(count, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
     told = classes.select("label", "digest", "rep", "least", "m").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(linked, "rep", "left")
     told = materialize(told.select("label", "digest", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")), "vector-links")
     ids = materialize(told.groupBy("c").agg(F.min("least").alias("component_id")), "component-ids")
