@@ -16,8 +16,19 @@ def finished(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
-    """df written once with an identifier of each row, so that rows with equal or null ids can be told apart."""
-    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    """df with a number of each row, the same whenever it is read, so that rows with equal or null ids can be told apart.
+
+    Rows of a plain scan of files are numbered by file and place, which are added as __file and __at, and nothing is written;
+    others are written once with their numbers.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.children().isEmpty() and df.inputFiles():
+        at = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+        names = sorted(r[0] for r in at.select("__file").distinct().collect())  # file names, which the driver's scan lists too
+        if names:
+            files = df.sparkSession.createDataFrame([(f, i << 36) for i, f in enumerate(names)], "__file string, __first long")
+            return at.join(small(files, 300, len(names)), "__file").withColumn(name, F.col("__first") + F.col("__at")).select(*df.columns, name, "__file", "__at")
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered", keep=True)
 
 
 def text_of(column: str = "text"):

@@ -59,8 +59,10 @@ class ExactDedup:
     def ingest(self, docs: DataFrame) -> ExactDedup:
         """Land the arrivals and bring the state up to date."""
         at, given = self._next(), docs
+        told = ("__file", "__at")  # by common.numbered
+        place = lambda df: told if set(told) <= set(df.columns) else ("_metadata.file_path", "_metadata.row_index")
         locate = lambda df: df.select(
-            F.col(self.id_col).cast("long").alias("doc_id"), text_of(self.text_col).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+            F.col(self.id_col).cast("long").alias("doc_id"), text_of(self.text_col).alias("text"), F.col(place(df)[0]).alias("file"), F.col(place(df)[1]).alias("row"),
             (F.col(self.row_col).cast("long") if self.row_col else F.lit(None).cast("long")).alias("row_id"),
         )
         try:

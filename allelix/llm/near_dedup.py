@@ -202,7 +202,7 @@ def bag(words: list[str]) -> bytes:
     return np.minimum(n, 255).astype(np.uint8).tobytes()
 
 
-def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, block: int = 512) -> DataFrame:
+def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
     """u < v: the strays (key, rep) with every member of their buckets but those in the same component, less the pairs whose
     lengths or bags of words differ by more than the similarity allows, which can't link.
 

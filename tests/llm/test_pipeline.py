@@ -10,6 +10,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from allelix.llm import near_dedup, packing
+from allelix.llm.common import numbered
+from allelix.llm.exact_dedup import ExactDedup
 from allelix.llm.queries import vocabulary
 
 from .test_small import water_fill
@@ -121,3 +123,19 @@ def test_empty_table(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_path):
+    _, df = table(spark)
+    path = f"{tmp_path}/documents.parquet"
+    df.write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows = numbered(docs)
+    first = {(r["__row"], *r[:4]) for r in rows.collect()}
+    assert len(first) == docs.count() and {(r["__row"], *r[:4]) for r in rows.repartition(5).collect()} == first
+    assert all("numbered-" not in f for f in rows.inputFiles())
+    store = ExactDedup(spark, row_col="__row").ingest(rows)
+    assert not store._exists("content") and store.result().count() == len(first)
+    twice = numbered(docs.union(docs))
+    assert twice.select("__row").distinct().count() == 2 * len(first)
+    assert len(plain(P.exact(spark, docs, ""))) == len(plain(P.exact(spark, docs.repartition(2), "")))
