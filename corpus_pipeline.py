@@ -22,7 +22,7 @@ ROW = "__row"
 
 
 def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows (with ROW) whose numbers aren't in gone (row)."""
+    """The rows (with ROW) whose numbers aren't in gone (row), a written table."""
     return rows.join(small(gone.select(F.col("row").alias(ROW)), 16), ROW, "leftanti").select(*columns)
 
 
@@ -33,27 +33,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
+    rows = numbered(docs, ROW)
     with scratch(spark):
-        rows = numbered(docs, ROW)
-        gone = exact_dedup.exact_dedup(rows, row_col=ROW).where("not kept").select("row")
-        return finished(_without(rows, gone, docs.columns), "exact")
+        gone = finished(exact_dedup.exact_dedup(rows, row_col=ROW).where("not kept").select("row"), "exact")
+    return _without(rows, gone, docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that with the smallest doc_id."""
+    rows = numbered(docs, ROW)
     with scratch(spark):
-        rows = numbered(docs, ROW)
-        gone = near_dedup.near_groups(rows, row_col=ROW).where("not kept").select("row")
-        return finished(_without(rows, gone, docs.columns), "near")
+        gone = finished(near_dedup.near_groups(rows, row_col=ROW).where("not kept").select("row"), "near")
+    return _without(rows, gone, docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document occurs as often as the mix takes it; documents that it doesn't take go."""
+    rows = numbered(docs, ROW)
     with scratch(spark):
-        rows = numbered(docs, ROW)
         told = mixing.mix(rows, row_col=ROW).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").alias("__copies"))
-        taken = rows.join(told, ROW).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        return finished(taken.select(*docs.columns), "mix")
+        told = finished(told, "mix")
+    taken = rows.join(small(told, 24), ROW).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return taken.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
