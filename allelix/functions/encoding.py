@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -107,3 +108,43 @@ def pair_similarity(a, b) -> Column:
 def presence_bits(states: Column, index: Column) -> Column:
     """Aggregate: one 64-bit word with a bit for each index (0..63) where the condition holds."""
     return F.coalesce(F.bit_or(F.when(states, F.call_function("shiftleft", F.lit(1).cast("long"), index.cast("int")))), F.lit(0).cast("long"))
+
+
+
+def packed_sequence(seq, bases: int = 31) -> Column:
+    """Words of `bases` letters, two bits each (A C G T are 0 to 3); null where another letter occurs."""
+    digits = F.transform(F.filter(F.split(F.translate(c(seq), "ACGT", "0123"), ""), lambda x: x != ""), lambda x: x.try_cast("long"))
+    starts = F.sequence(F.lit(0), F.size(digits) - 1, F.lit(bases))
+    word = lambda i: F.aggregate(F.slice(digits, i + 1, F.lit(bases)), F.lit(0).cast("long"), lambda a, x: a * 4 + x)
+    return F.when(~c(seq).rlike("[^ACGT]") & (F.length(c(seq)) > 0), F.transform(starts, word))
+
+
+def unpacked_sequence(words, length, bases: int = 31) -> Column:
+    """The letters of packed words of a sequence of the given length."""
+    size = lambda i: F.least(F.lit(bases), c(length) - i * bases)
+    one = lambda w, i: F.array_join(F.transform(F.sequence(size(i) - 1, F.lit(0), F.lit(-1)), lambda k: F.substring(F.lit("ACGT"), (F.call_function("shiftright", w, (2 * k).cast("int")).bitwiseAND(3) + 1).cast("int"), F.lit(1))), "")
+    return F.array_join(F.transform(c(words), one), "")
+
+
+def file_parts(path) -> tuple[Column, Column, Column]:
+    """(folder, name, suffix) of a path."""
+    name = F.regexp_extract(c(path), r"([^/]*)$", 1)
+    return F.regexp_extract(c(path), r"^(.*)/[^/]*$", 1), name, F.regexp_extract(name, r"\.([^.]*)$", 1)
+
+
+def nth_place(text, part: str, n: int) -> Column:
+    """Place (from 1) at which part begins for the n-th time, 0 if it doesn't."""
+    before = F.substring_index(c(text), part, n)
+    return F.when(F.size(F.split(c(text), re.escape(part))) > n, F.length(before) + 1).otherwise(0)
+
+
+def wrapped(text, width: int) -> Column:
+    """Lines of at most width characters."""
+    return F.array_join(F.regexp_extract_all(c(text), F.lit(f"(.{{1,{width}}})"), F.lit(1)), "\n")
+
+
+def model_criteria(rss, n, parameters) -> tuple[Column, Column, Column]:
+    """(AIC, AICc, BIC) of a least-squares fit with so many parameters."""
+    n, k = c(n), c(parameters)
+    fit = n * F.log(c(rss) / n)
+    return fit + 2 * k, fit + 2 * k + 2 * k * (k + 1) / (n - k - 1), fit + k * F.log(n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import MISSING, is_het
+from ..functions.tables import row_numbers
 from .summary import category_counts, inbreeding, site_stats, taxa_stats
 
 
@@ -93,15 +94,16 @@ def segregating_sites(calls: DataFrame, max_missing: float, ratio: float = 0.5)
 
 
 def random_subset(df: DataFrame, key: str, size: float, seed: int = 7) -> DataFrame:
-    """size from 1 on is a number of keys, below it a share (one key at least); by a hash order of the keys, a sampling operator."""
+    """size from 1 on is a number of keys, below it a share (one key at least); by the order of the keys' MD5, a sampling operator."""
     keys = df.select(key).distinct()
     n = int(size) if size >= 1 else max(1, int(keys.count() * size))
-    return df.join(keys.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n), key, "leftsemi")
+    ranked = row_numbers(keys, [F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), F.col(key)], "__nth")
+    return df.join(ranked.where(F.col("__nth") <= n), key, "leftsemi")
 
 
 def stepwise_subset(df: DataFrame, key: str, size: float) -> DataFrame:
     """Evenly spaced keys: places floor(k * step)."""
-    keys = df.select(key).distinct().withColumn("__i", F.row_number().over(Window.orderBy(key)) - 1)
+    keys = row_numbers(df.select(key).distinct(), [F.col(key)], "__i").withColumn("__i", F.col("__i") - 1)
     total = keys.count()
     n = min(total, int(size) if size >= 1 else max(1, int(total * size)))
     step = F.lit(total / max(1, n))

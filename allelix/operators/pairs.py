@@ -106,9 +106,10 @@ def squared_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("taxon_i", "taxon_j", F.col("dist").alias("d2")), ["taxon_i", "taxon_j"]).agg(F.sum(F.pow(F.col("dist") - F.col("d2"), 2)).alias("squared"), F.count(F.lit(1)).alias("pairs"))
 
 
-def trait_distance(values: DataFrame, squared: bool = False) -> DataFrame:
-    """values: taxon_id, trait, value. Mean Manhattan or squared distance over the traits that both have."""
+def trait_distance(values: DataFrame, squared: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """values: taxon_id, trait, value. Mean Manhattan or squared distance over the traits that both have; each pair once, or, with `of` (taxon_id), each of these with every other."""
     v = values.where("value is not null")
     b = v.select(F.col("taxon_id").alias("taxon_j"), "trait", F.col("value").alias("v2"))
     x = F.col("value") - F.col("v2")
-    return v.join(b, "trait").where("taxon_id < taxon_j").groupBy(F.col("taxon_id").alias("taxon_i"), "taxon_j").agg(F.avg(x * x if squared else F.abs(x)).alias("dist"))
+    pairs = v.join(b, "trait").where("taxon_id < taxon_j") if of is None else v.join(of, "taxon_id", "leftsemi").join(b, "trait").where("taxon_id <> taxon_j")
+    return pairs.groupBy(F.col("taxon_id").alias("taxon_i"), "taxon_j").agg(F.avg(x * x if squared else F.abs(x)).alias("dist"))

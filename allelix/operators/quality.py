@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import is_het, is_missing
 from .pairs import _n, _pairs, _words
+from ..functions.tables import row_numbers
 from .summary import allele_counts, site_stats
 
 
@@ -153,7 +154,7 @@ def site_correlation(calls: DataFrame, near: int = 50) -> DataFrame:
 
 def neighbor_correlation(calls: DataFrame, window: int, start: int = 10) -> DataFrame:
     """Per site, the mean absolute correlation with `window` sites on each side, the first of them `start` places away; pairs without r are left out on both sides."""
-    order = calls.select("site_id").distinct().withColumn("rank", F.row_number().over(Window.orderBy("site_id")) - 1)
+    order = row_numbers(calls.select("site_id").distinct(), [F.col("site_id")], "rank").withColumn("rank", F.col("rank") - 1)
     ranked = calls.join(order, "site_id").select("taxon_id", F.col("rank").alias("site_id"), "a1", "a2")
     r = site_correlation(ranked, start + window - 1).where(F.col("r").isNotNull() & (F.col("site_j") - F.col("site_i") >= start))
     g = r.select(F.explode(F.array("site_i", "site_j")).alias("rank"), F.abs("r").alias("r")).groupBy("rank").agg(F.count(F.lit(1)).alias("neighbors"), F.avg("r").alias("mean_r"))

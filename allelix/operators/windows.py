@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import MISSING, is_het, is_missing
+from ..functions.tables import row_numbers, running
 from .summary import site_stats
 
 
@@ -24,8 +25,8 @@ def diversity(stats: DataFrame) -> DataFrame:
 
 def sliding_diversity(calls: DataFrame, window: int = 20, step: int = 10, include_last: bool = False) -> DataFrame:
     """By site index: windows of `window` sites at each step; the last full window is left out unless include_last. Sites are exploded to the windows that cover them, so windows are groups."""
-    s = site_stats(calls).withColumn("i", F.row_number().over(Window.orderBy("site_id")) - 1)
-    total = F.count(F.lit(1)).over(Window.partitionBy())
+    s = row_numbers(site_stats(calls), [F.col("site_id")], "i").withColumn("i", F.col("i") - 1)
+    total = F.lit(s.count())
     p = F.col("major_n") / F.col("gametes")
     q = F.col("minor_n") / F.col("gametes")
     n = F.col("gametes")
@@ -70,10 +71,9 @@ def islands(df: DataFrame, group: str, position: str, border: int) -> DataFrame:
 
 
 def qq(df: DataFrame, p: str) -> DataFrame:
-    """Expected and observed -log10 of ranked p-values; ranks in one ordered pass."""
-    r = df.where(F.col(p) > 0).withColumn("rank", F.row_number().over(Window.orderBy(p)))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return r.withColumns({"expected": -F.log10(F.col("rank") / n), "observed": -F.log10(p)})
+    """Expected and observed -log10 of ranked p-values; ranks by ranges of p."""
+    r = row_numbers(df.where(F.col(p) > 0), [F.col(p)], "rank")
+    return r.withColumns({"expected": -F.log10(F.col("rank") / r.count()), "observed": -F.log10(p)})
 
 
 def manhattan(df: DataFrame, p: str) -> DataFrame:
@@ -85,8 +85,7 @@ def manhattan(df: DataFrame, p: str) -> DataFrame:
 
 
 def rank_of_null(df: DataFrame, null: DataFrame, p: str) -> DataFrame:
-    """Share of the null distribution's minimum p-values that are at most p, by one ordered pass over both."""
+    """Share of the null distribution's minimum p-values that are at most p, by running counts over ranges of both."""
     both = df.select("id", F.col(p).alias("p"), F.lit(1).alias("k")).unionByName(null.select(F.lit(None).cast("long").alias("id"), F.col(p).alias("p"), F.lit(0).alias("k")))
-    w = Window.orderBy("p", "k")
-    n = F.sum((F.col("k") == 0).cast("long"))
-    return both.withColumns({"le": n.over(w), "n": n.over(Window.partitionBy())}).where("k = 1").select("id", "p", (F.col("le") / F.col("n")).alias("p_genome"))
+    told = running(both, [F.col("p"), F.col("k")], {"le": (F.col("k") == 0).cast("long")})
+    return told.where("k = 1").select("id", "p", (F.col("le") / null.count()).alias("p_genome"))

@@ -123,7 +123,7 @@ def polymorphic_sites(spark, d):
     return filters.polymorphic_sites(geno(spark, d), 0.12, 0.1)
 
 
-@query("random_sites")
+@query("random_sites", WITH + ", k AS (SELECT DISTINCT site_id FROM geno) SELECT taxon_id, site_id, a1, a2 FROM geno WHERE site_id IN (SELECT site_id FROM k ORDER BY md5('7:' || site_id), site_id LIMIT 20)")
 def random_sites(spark, d):
     """A sampling operator: 20 sites by a hash order."""
     return rows(filters.random_subset(geno(spark, d), "site_id", 20))
@@ -139,9 +139,9 @@ def taxa_by_name_part(spark, d):
     return filters.taxa_by_name_part(trait_view(spark, d), ["01", "7"]).select("taxon_id", "taxon")
 
 
-@query("intersect_traits", WITH + "SELECT t.taxon_id, t.t1, t.f1, g.n FROM traits t JOIN (SELECT taxon_id, count(*) AS n FROM geno WHERE site_id < 100 GROUP BY 1) g ON g.taxon_id = t.taxon_id")
+@query("intersect_traits", WITH + "SELECT t.taxon_id, t.t1, t.f1, g.n FROM traits t JOIN (SELECT taxon_id, count(*) AS n FROM geno GROUP BY 1) g ON g.taxon_id = t.taxon_id")
 def intersect_traits(spark, d):
-    n = geno(spark, d).where("site_id < 100").groupBy("taxon_id").agg(F.count(F.lit(1)).alias("n"))
+    n = geno(spark, d).groupBy("taxon_id").agg(F.count(F.lit(1)).alias("n"))
     return joins.combine_traits(trait_view(spark, d).drop("taxon"), n, union=False)
 
 
@@ -267,7 +267,7 @@ def ld_sliding_window(spark, d):
 
 @query("ld_fisher")
 def ld_fisher(spark, d):
-    return models.with_fisher(pairs.ld(geno(spark, d), 10))
+    return models.with_fisher(pairs.ld(geno(spark, d)))
 
 
 @query("kinship", WITH + """, al AS (SELECT r.site_id, r.allele, CAST(r.n AS DOUBLE) / s.gametes AS p FROM ranked r JOIN site s ON s.site_id = r.site_id WHERE rk < (SELECT max(rk) FROM ranked q WHERE q.site_id = r.site_id)),
@@ -297,9 +297,12 @@ def missing_share(spark, d):
     return traits.missing_share(traits.long_form(trait_view(spark, d), ["t1"])).select("trait", r9("missing").alias("missing"))
 
 
-@query("knn_impute")
+@query("knn_impute", WITH + """, v AS (SELECT taxon_id, 't1' AS trait, t1 AS value FROM traits UNION ALL SELECT taxon_id, 'f1', CAST(f1 AS DOUBLE) FROM traits),
+  d AS (SELECT x.taxon_id AS i, y.taxon_id AS j, avg(abs(x.value - y.value)) AS dist FROM v x JOIN v y ON x.trait = y.trait AND x.taxon_id <> y.taxon_id WHERE x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY 1, 2),
+  n AS (SELECT g.taxon_id, g.trait, h.value, row_number() OVER (PARTITION BY g.taxon_id, g.trait ORDER BY dist, j) AS r FROM v g JOIN d ON d.i = g.taxon_id JOIN v h ON h.taxon_id = d.j AND h.trait = g.trait WHERE g.value IS NULL AND h.value IS NOT NULL)
+  SELECT v.taxon_id, v.trait, round(coalesce(v.value, m.value), 6) AS value FROM v LEFT JOIN (SELECT taxon_id, trait, avg(value) AS value FROM n WHERE r <= 3 GROUP BY 1, 2) m ON m.taxon_id = v.taxon_id AND m.trait = v.trait""")
 def knn_impute(spark, d):
-    return traits.knn_impute(traits.long_form(trait_view(spark, d), ["t1", "f1"]), 3)
+    return traits.knn_impute(traits.long_form(trait_view(spark, d), ["t1", "f1"]), 3).withColumn("value", F.round("value", 6))
 
 
 @query("glm_association")
