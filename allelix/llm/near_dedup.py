@@ -118,7 +118,7 @@ def banded_distance(a: list[str], b: list[str], band: int) -> int:
         return len(b)
     if max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > band:
         return band + 1
-    try_band = 16
+    try_band = 64
     while True:
         width = min(band, try_band)
         if len(b) - len(a) <= width:
@@ -197,58 +197,69 @@ def _candidates(keyed: DataFrame) -> DataFrame:
 
 
 def bag(words: list[str]) -> bytes:
-    """How many words fall in each of BINS bins, 255 at most: no two texts' bags differ more than the texts do."""
-    n = np.bincount((word_hashes(words) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-    return np.minimum(n, 255).astype(np.uint8).tobytes()
+    """How many words, and then how many pairs of neighbours, fall in each of BINS bins, 255 at most.
+
+    No two texts' bags of words differ more than the texts do, and bags of pairs by twice as much, as an edit touches two pairs.
+    """
+    h = word_hashes(words)
+    bins = lambda x: np.minimum(np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    return bins(h).tobytes() + bins(_mix(h[:-1] * PRIME + h[1:])).tobytes()
 
 
-def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
-    """u < v: the strays (key, rep) with every member of their buckets but those in the same component, less the pairs whose
-    lengths or bags of words differ by more than the similarity allows, which can't link.
+def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, strays_block: int = 1024, block: int = 1024) -> DataFrame:
+    """u < v: links between the strays (key, rep) and the members of their buckets, but those in the same component.
 
     Buckets with the same leader are taken together, since texts that meet in one of them mostly meet in several.
-    Strays and members are dealt in blocks; a group is a block of either, so that pairs aren't rows.
+    Strays and members are dealt in blocks; a group is a block of either, so that pairs aren't rows. Within it, pairs whose
+    lengths or bags of words or of pairs of words differ by more than the similarity allows can't link; the others are aligned.
     """
-    lead = materialize(keyed.groupBy("key").agg(F.min("rep").alias("lead")), "leaders")
-    lead = small(lead, 24)
+    lead = small(materialize(keyed.groupBy("key").agg(F.min("rep").alias("lead")), "leaders"), 24)
     strays = materialize(strays.join(lead, "key").select(F.col("lead").alias("key"), "rep").distinct(), "strays-by-leader")
     keyed = materialize(keyed.join(lead, "key").select(F.col("lead").alias("key"), "rep").distinct(), "members-by-leader")
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [t.split() for t in b["text"]]
-            yield pd.DataFrame({"rep": b["rep"], "words": [len(w) for w in words], "bag": [bag(w) for w in words]})
+            yield pd.DataFrame({"rep": b["rep"], "text": b["text"], "words": [len(w) for w in words], "bag": [bag(w) for w in words]})
 
-    of = texts.mapInPandas(bags, "rep long, words long, bag binary").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    of = materialize(of.select("rep", "words", "bag", F.coalesce("component", "rep").alias("c")), "bags")
-    of = small(of, BINS + 60)
+    of = texts.mapInPandas(bags, "rep long, text string, words long, bag binary").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of = materialize(of.select("rep", "text", "words", "bag", F.coalesce("component", "rep").alias("c")), "bags")
+    longest = of.agg(F.sum(F.octet_length("text") + 2 * BINS + 60), F.count(F.lit(1))).first()
+    of = small(of, -(-(longest[0] or 0) // max(1, longest[1])), longest[1])
     sizes = strays.groupBy("key").agg(F.count(F.lit(1)).alias("s")).join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
-    few = F.col("m") <= block // 16  # many buckets of a few rows are one group; it runs through them one by one
-    sizes = sizes.select("key", F.ceil(F.col("s") / block).cast("int").alias("s"), F.ceil(F.col("m") / block).cast("int").alias("m"), few.alias("few"), F.col("m").alias("rows"))
+    few = F.col("m") <= 32  # many buckets of a few rows are one group; it runs through them one by one
+    sizes = sizes.select("key", F.ceil(F.col("s") / strays_block).cast("int").alias("s"), F.ceil(F.col("m") / block).cast("int").alias("m"), few.alias("few"), F.col("m").alias("rows"))
     sizes = materialize(sizes, "blocks")
-    bundles = max(1, (sizes.where("few").agg(F.sum("rows")).first()[0] or 0) // (2 * block))
-    sizes = sizes.drop("rows")
+    bundles = max(1, (sizes.where("few").agg(F.sum("rows")).first()[0] or 0) // block)
+    sized = small(sizes.drop("rows"), 24)
     dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    sized = small(sizes, 24)
     left = strays.join(sized, "key").select("key", "few", "rep", dealt("s").alias("i"), every("m").alias("j"), F.lit(True).alias("stray"))
     right = keyed.join(sized, "key").select("key", "few", "rep", every("s").alias("i"), dealt("m").alias("j"), F.lit(False).alias("stray"))
 
     def near(rows: pd.DataFrame) -> pd.DataFrame:
-        out_u, out_v = [], []
+        out = set()
         for _, g in rows.groupby("key", sort=False):
             a, b = g[g["stray"]], g[~g["stray"]]
-            table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), BINS).astype(np.int16)
-            reps, words, c = (b[n].to_numpy() for n in ("rep", "words", "c"))
-            for rep, n, own, comp in zip(a["rep"], a["words"], a["bag"], a["c"], strict=True):
+            table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), 2 * BINS)
+            reps, words, c, others = (b[n].to_numpy() for n in ("rep", "words", "c", "text"))
+            split: dict[int, list[str]] = {}
+            for rep, n, own, comp, text in zip(a["rep"], a["words"], a["bag"], a["c"], a["text"], strict=True):
                 band = (np.maximum(words, n) * (1 - similarity) + 1e-9).astype(np.int64)
                 at = np.flatnonzero((c != comp) & (reps != rep) & (np.abs(words - n) <= band))
-                d = table[at] - np.frombuffer(own, np.uint8).astype(np.int16)
-                more, less = np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)
-                at = at[np.maximum(more, less) <= band[at]]
-                out_u.append(np.minimum(reps[at], rep))
-                out_v.append(np.maximum(reps[at], rep))
-        return pd.DataFrame({"u": np.concatenate(out_u), "v": np.concatenate(out_v)} if out_u else {"u": [], "v": []})
+                own = np.frombuffer(own, np.uint8).astype(np.int16)
+                for half, most in ((slice(0, BINS), 1), (slice(BINS, 2 * BINS), 2)):
+                    d = table[at, half] - own[half]
+                    more, less = np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)
+                    at = at[np.maximum(more, less) <= most * band[at]]
+                if len(at):
+                    mine = text.split()
+                    for i in at:
+                        if i not in split:
+                            split[i] = others[i].split()
+                        if banded_distance(mine, split[i], int(band[i])) <= band[i]:
+                            out.add((min(rep, reps[i]), max(rep, reps[i])))
+        return pd.DataFrame(sorted(out), columns=["u", "v"]).astype("int64")
 
     both = left.union(right).withColumn("g", F.when(F.col("few"), F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.col("key")))
     return both.join(of, "rep").groupBy("g", "few", "i", "j").applyInPandas(near, "u long, v long").distinct()
@@ -277,10 +288,8 @@ def _links(keyed: DataFrame, texts_of, similarity: float) -> DataFrame:
     hit = materialize(strays.select("key").distinct(), "stray-buckets")
     keyed = materialize(keyed.join(small(hit, 16), "key", "leftsemi"), "stray-members")
     texts = texts_of(keyed.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
-    pairs = _rest(strays, keyed, texts, nodes, similarity).join(told.select("u", "v"), ["u", "v"], "leftanti")
-    pairs = materialize(pairs, "pairs-rest")
-    more = materialize(_verified(pairs, texts, similarity), "alignments-rest")
-    return edges.union(more.where("same").select("u", "v"))
+    more = materialize(_rest(strays, keyed, texts, nodes, similarity), "links-rest")
+    return edges.union(more)
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 72, picks: int = 2, row_col: str | None = None) -> DataFrame:
