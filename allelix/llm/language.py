@@ -63,14 +63,14 @@ def features(text: str, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         f = [features(t) for t in b["text"]]
-        yield pd.DataFrame({"lang": b["lang"], "doc_id": b["doc_id"], "at": [x[0] for x in f], "value": [x[1] for x in f]})
+        yield pd.DataFrame({"lang": b["lang"], "doc_id": b["doc_id"], "at": [x[0].tobytes() for x in f], "value": [x[1].tobytes() for x in f]})
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 8.0, rounds: int = 12) -> np.ndarray:
     """Weights (the last one the bias) of a linear support vector machine with squared hinge loss, by dual coordinate descent; y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     c = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
-    w, a, q, rng = np.zeros(x.shape[1]), np.zeros(len(y)), (x * x).sum(1) + 1 / (2 * c), np.random.default_rng(0)
+    w, a, q, rng = np.zeros(x.shape[1]), np.zeros(len(y)), np.einsum("ij,ij->i", x, x) + 1 / (2 * c), np.random.default_rng(0)
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
             g = y[i] * (x[i] @ w) - 1 + a[i] / (2 * c[i])
@@ -141,13 +141,13 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel:
     share = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     wanted = rows.join(small(sizes, 40), "lang").where(share < 1.3 * per_language / F.col("n"))
     wanted = wanted.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # repeated ids count once, which keeps the sample bounded
-    sample = wanted.mapInPandas(_vectors, "lang string, doc_id long, at array<int>, value array<float>").toPandas()
+    sample = wanted.mapInPandas(_vectors, "lang string, doc_id long, at binary, value binary").toPandas()  # bytes, as lists of numbers take ten times the driver's memory
     if not len(sample):
         return LanguageModel(np.zeros((0, DIMS), np.float32), np.array([], object))
     sample = sample.sort_values(["lang", "doc_id"]).groupby("lang").head(per_language)
     x = np.zeros((len(sample), DIMS), np.float32)
     for i, (at, value) in enumerate(zip(sample["at"], sample["value"], strict=True)):
-        x[i, at] = value
+        x[i, np.frombuffer(at, np.int32)] = np.frombuffer(value, np.float32)
     return LanguageModel(x, sample["lang"].to_numpy())
 
 
