@@ -1,3 +1,4 @@
+from . import curation_queries as curation_queries
 from . import genotype_queries as genotype_queries
 from . import quality_queries as quality_queries
 from . import registry as registry
