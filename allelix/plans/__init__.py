@@ -3,3 +3,4 @@ from . import genotype_queries as genotype_queries
 from . import quality_queries as quality_queries
 from . import registry as registry
 from . import site_queries as site_queries
+from . import tag_queries as tag_queries
