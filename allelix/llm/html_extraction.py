@@ -4,11 +4,13 @@ First every page is parsed and its containers are scored by the text that lies i
 of links. A container's path is generalised: tags with their classes, digits taken out, told by a hash of fixed length so
 that deep nesting costs no more than shallow. Spark sums each page's best score of each path over
 a host's pages; the winner is the path with most votes. Then every page is read again with the winning path of its host;
-a page without such a container takes its own best one. Within the container, menus, headers, footers, sidebars, notices,
+a page without such a container takes its own best one. A page's best container is widened first: to the article or main element
+that it stands in, else as far as the rest is article text too, so that titles, leads and sections of other classes stay. Within the container, menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are left out. Only paths and scores are shuffled, never pages.
 
 An element is left out for its tag or role, or if a whole class or id says so: `site-header` does, `has-sidebar`,
-`section-header` or `share-price` don't. An element that is out by its name alone and holds four fifths of the page's text or
+`section-header` or `share-price` don't. Of comments, adverts and cookie notices one word is enough (`comment-body`, `google-ad`), unless
+the others say a state (`no-comments`) or a part of an article; within program code names don't count. An element that is out by its name alone and holds four fifths of the page's text or
 more is a wrapper and stays, unless it is one of reader comments. Left-out elements that stand inside a line don't end it.
 
 Defined results: a null or blank page has the empty text; a page without any container gives the text of its body; a page
@@ -54,6 +56,11 @@ MODIFIERS = {
     "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "desktop", "form", "global", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "mobile",
     "outer", "page", "posts", "primary", "right", "secondary", "signup", "site", "slot", "sticky", "stories", "thread", "top", "unit", "wp", "wrap", "wrapper",
 }
+#: One of these words is enough, unless the other words of the name say what is or isn't the case, or (but for comments) name a part of an article.
+STRONG_WORDS = {"comment", "comments", "disqus", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "cookie", "cookies", "consent"}
+STATES = {"allowed", "closed", "code", "disabled", "enabled", "free", "has", "hoc", "less", "lib", "no", "off", "on", "open", "opened", "with", "without"}
+PARTS = {"article", "articles", "baking", "body", "content", "contents", "entry", "headline", "history", "intro", "lead", "post", "posts", "recipe", "recipes", "section", "sections", "story", "stories", "text", "title"}
+TITLES = {"h1", "h2", "h3"}
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "summary"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "body", "article", "section", "main", "div"}
@@ -93,19 +100,24 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _names(tag: str, attrs: dict[str, str]) -> set[str]:
     """Words that leave an element out, of those of its classes and its id that hold no word of another kind."""
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html", "main"):
         return set()
     found = set()
     for token in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = set(WORDS.findall(CAMEL.sub(" ", token).lower()))
         said = words & LEFT_OUT_WORDS
-        if said and words <= LEFT_OUT_WORDS | MODIFIERS | ({"section", "sections"} if said & COMMENT_WORDS else set()):
+        if not said:
+            continue
+        alone = words <= LEFT_OUT_WORDS | MODIFIERS | ({"section", "sections"} if said & COMMENT_WORDS else set())
+        strong = said & STRONG_WORDS and not words & STATES and (said & COMMENT_WORDS or not words & PARTS)
+        if alone or strong:
             found |= said
-    return found
+    return found & COMMENT_WORDS if tag == "article" else found
 
 
-def _left_out(tag: str, attrs: dict[str, str]) -> bool:
-    return tag in LEFT_OUT_TAGS or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+def _left_out(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """The header of an article holds its title and lead, other headers those of the site."""
+    return tag in LEFT_OUT_TAGS and not (tag == "header" and in_article) or attrs.get("role", "").lower() in LEFT_OUT_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
 
 
 def parse(page: str) -> tuple[list[tuple[Node, str, float]], list[Node]]:
@@ -194,8 +206,9 @@ def parse(page: str) -> tuple[list[tuple[Node, str, float]], list[Node]]:
                 put("\n")
             if start in VOID or (m[3] or "").endswith("/") and start not in BLOCK:
                 continue
-            names = set() if top.out else _names(start, attrs)
-            out = top.out or _left_out(start, attrs) or bool(names) and start not in BLOCK
+            in_code = open_.get("pre") or open_.get("code")  # where a comment is one of the program
+            names = set() if top.out or in_code else _names(start, attrs)
+            out = top.out or _left_out(start, attrs, open_.get("article", 0) > 0) or bool(names) and start not in BLOCK
             path = top.path
             if start in BLOCK:
                 name = start + "".join("." + c for c in sorted(re.sub(r"\d+", "", attrs.get("class", "")).split()))
@@ -233,8 +246,8 @@ def parse(page: str) -> tuple[list[tuple[Node, str, float]], list[Node]]:
     return blocks, containers
 
 
-def _scored(blocks: list[tuple[Node, str, float]], containers: list[Node]) -> list[tuple[str, float]]:
-    """(generalised path, score) of the containers: the text in blocks right below them, half of that one level further up.
+def _scored(blocks: list[tuple[Node, str, float]], containers: list[Node]) -> list[tuple[Node, float]]:
+    """(container, score): the text in blocks right below it, half of that one level further up. The best one is widened.
 
     Containers on one path within the same container are parts of it: it gets all of their text, so none of them beats it.
     """
@@ -247,23 +260,57 @@ def _scored(blocks: list[tuple[Node, str, float]], containers: list[Node]) -> li
             shift = 0 if parts[id(c.parent.own), c.path] > 1 else 1
             for i in range(3 - shift):
                 up[i + shift] += own[i]
-    return [(c.path, c.score()) for c in containers if c.score() > 0]
+    found = [(c, c.score()) for c in containers if c.score() > 0]
+    if found:
+        best, most = max(found, key=lambda x: x[1])
+        found.append((_widened(best, blocks), most))
+    return found
+
+
+def _widened(best: Node, blocks: list[tuple[Node, str, float]]) -> Node:
+    """The article or main element that the container stands in; else the furthest container of which the rest is article text too.
+
+    That is so if nearly none of the rest is links and it holds a title or is a tenth of the text or more. A title, a lead or
+    sections of other classes are found so beside the longest section.
+    """
+
+    def rest(wide: Node, inner: Node) -> tuple[int, float, bool]:
+        outside = [*blocks[wide.first : inner.first], *blocks[inner.last : wide.last]]
+        return sum(len(t) for _, t, _ in outside), sum(plain for _, _, plain in outside), any(t and n.tag in TITLES for n, t, _ in outside)
+
+    above, node = [], best
+    while node.parent and node.tag not in ("body", "html"):
+        above.append(node)
+        node = node.parent.own if node.parent.own is not node else node.parent
+    for wide in above:
+        if wide.tag in ("article", "main"):
+            told, plain, _ = rest(wide, best)
+            return wide if plain * 2 >= told else best
+    wide, inner = best, sum(plain for _, _, plain in blocks[best.first : best.last])
+    for node in above[1:]:
+        told, plain, titled = rest(node, wide)
+        if plain < 0.8 * told or told and not titled and 10 * plain < inner:
+            break
+        if told:
+            wide, inner = node, inner + plain
+    return wide
 
 
 def scores(page: str | None) -> list[tuple[str, float]]:
-    return _scored(*parse(page or ""))
+    """(generalised path, score) of the containers, and last that of the widened best one."""
+    return [(c.path, s) for c, s in _scored(*parse(page or ""))]
 
 
 def main_text(page: str | None, paths: list[str]) -> str:
-    """The blocks of the containers on the first of the paths that the page has; else of its own best container."""
+    """The blocks of the containers on the first of the paths that the page has; else of its own best container, widened."""
     blocks, containers = parse(page or "")
     for path in paths:
         found = [c for c in containers if c.path == path]
         if any(blocks[i][1] for c in found for i in range(c.first, c.last)):
             break
     else:
-        own = max(_scored(blocks, containers), key=lambda x: x[1], default=(containers[0].path, 0.0))[0]
-        found = [c for c in containers if c.path == own]
+        found = [c for c, _ in _scored(blocks, containers)[-1:]] or containers[:1]
+        found = [c for c in containers if c.path == found[0].path]
     keep, upto = [], 0
     for c in found:  # in page order; one may lie within another
         keep += [text for _, text, _ in blocks[max(c.first, upto) : c.last] if text]
@@ -285,8 +332,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 found = scores(page)
                 best = max((s for _, s in found), default=0.0)
                 most: dict[str, float] = {}
-                for path, s in found:
+                for path, s in found[:-1]:
                     most[path] = max(s, most.get(path, 0.0))
+                if found and found[-1][0] != (first := max(found[:-1], key=lambda x: x[1])[0]):
+                    most[first] /= 2  # its text is part of the widened one
+                    most[found[-1][0]] = best
                 for path, s in most.items():
                     sums[host, path] = sums.get((host, path), 0) + round(1000 * s / best)
             yield pd.DataFrame([(h, p, v) for (h, p), v in sums.items()], columns=["host", "path", "votes"])

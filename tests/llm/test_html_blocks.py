@@ -89,3 +89,38 @@ def test_equal_votes_take_the_greatest_path(spark):
     first = H.host_paths(rows.withColumn("host", H.host_of(rows.url)).select("host", "html")).collect()
     again = H.host_paths(rows.orderBy("page_id", ascending=False).withColumn("host", H.host_of(rows.url)).select("host", "html")).collect()
     assert first == again and len(first) == 1
+
+
+LONG, SHORT = " ".join(["long"] * 120), " ".join(["short"] * 30)
+ARTICLES = [
+    # (markup with {0} for the long text and {1} for a short one, the blocks wanted)
+    ("<article><h1>T</h1><p class=lead>L</p><div class=entry-content><p>{0}</p><p>{1}</p></div></article>", ["T", "L", LONG, SHORT]),
+    ("<div class=post><div class=intro><p>{1}</p></div><div class=text><p>{0}</p></div><div class=outro><p>{1}</p></div></div>", [SHORT, LONG, SHORT]),
+    ("<article><section class=a><h2>A</h2><p>{1}</p></section><section class=b><h2>B</h2><p>{0}</p></section><section class=c><p>{1}</p></section></article>", ["A", SHORT, "B", LONG, SHORT]),
+    ("<article><header><h1>T</h1><p>L</p></header><div class=body><p>{0}</p></div><footer>no</footer></article>", ["T", "L", LONG]),
+    ("<main><h1>T</h1><div class=a><p>{0}</p></div><aside>no</aside></main>", ["T", LONG]),
+    ("<div class=story><h1>T</h1><div class=story-body><p>{0}</p><p>{1}</p></div></div>", ["T", LONG, SHORT]),
+    ("<article><p>{0}</p><pre><code>x = 1 <span class='token comment'># why</span></code></pre></article>", [LONG, "x = 1 # why"]),
+]
+NOISE = [
+    "<div class=comment-body><p>no no no</p></div>", "<div class=user-comments><p>no</p></div>", "<div class=post-comments><p>no</p></div>", "<article class=comment><p>no</p></article>",
+    "<div class=google-ad>no</div>", "<div class='cookie-message'>no</div>", "<div id=articleComments>no</div>", "<ul class=links><li><a href=x>no</a><li><a href=y>no</a></ul>",
+]
+
+
+@pytest.mark.parametrize("markup, want", ARTICLES)
+def test_titles_leads_and_sections_stay_and_comments_go(spark, markup, want):
+    inner = markup.format(LONG, SHORT)
+    pages = [f"<html><body><header>no</header><nav><a href=x>no</a></nav>{n}{inner}{n}<footer>no</footer></body></html>" for n in ["", *NOISE[:-1]]]
+    shut = inner.rfind("</")
+    pages += [f"<html><body>{inner[:shut]}{n}{inner[shut:]}</body></html>" for n in NOISE[:-1]]  # at the article's end
+    pages.append(f"<html><body>{NOISE[-1]}{inner}</body></html>")
+    for p in pages:
+        assert H.main_text(p, []) == "\n".join(want), p
+    rows = spark.createDataFrame([(i, "http://one.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract(rows).collect()} == {"\n".join(want)}
+
+
+def test_names_that_say_a_state_or_a_part_stay():
+    for name in ("comments-open", "no-comments", "has-ads", "ad-free", "cookie-recipe", "ad-hoc", "entry-content"):
+        assert H.main_text(f"<body><article><p>{LONG}</p><div class={name}><p>yes</p></div></article></body>", []) == f"{LONG}\nyes"
