@@ -163,7 +163,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.98, trees: int = 4, leaf
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             v = [np.asarray(x, "<f8") for x in b["v"]]
-            v = [x / 2.0 ** np.frexp(np.abs(x).max())[1] for x in v]  # keeps huge and tiny vectors finite and is exact
+            v = [np.ldexp(x, -np.frexp(np.abs(x).max())[1]) for x in v]  # keeps huge and tiny vectors finite and is exact
             yield pd.DataFrame({"vec_id": b["vec_id"].astype("Int64"), "label": b["label"], "v": [x.tobytes() for x in v]})
 
     numbered = given.where(F.coalesce(fine, F.lit(False))).mapInPandas(pack, "vec_id long, label string, v binary")

@@ -84,3 +84,9 @@ def test_odd_vectors_repeats_and_the_threshold(spark):
     assert (exact[2] >= 1) == (above([1.0, 0.0], [49.0, np.sqrt(99)]) or above([48.9, 10.0], [49.0, np.sqrt(99)]))
     assert E.near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
     assert E.near_dedup(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).where(F.col("vec_id") == 5)).count() == 1
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    rows = [(1, [1e308, 1e308]), (2, [9e307, 9e307]), (3, [1.7e308, 0.0]), (4, [5e-324, 5e-324]), (5, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in E.near_dedup(df).collect()} == {1: (3, 1), 2: (3, 1), 3: (0, 3), 4: (3, 1), 5: (3, 1)}
