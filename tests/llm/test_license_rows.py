@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from allelix.llm import license_scan as L
 
@@ -34,11 +35,11 @@ def test_changed_templates_against_brute_force(spark):
         texts.append(rng.choice([" ", "\n", "  "]).join(words))
     texts += [None, "", "x", "All rights reserved", "word " * 200_000 + L.TEMPLATES["gpl-warranty"]]
     rows = [(i, t, "en", 1.0) for i, t in enumerate(texts)]
-    df = spark.createDataFrame([*rows, rows[0], (None, L.TEMPLATES["mit-line"], "x", 0.0)], "doc_id long, text string, license string, containment double")
-    got = {}
-    for r in L.scan(df).collect():
-        assert (r.doc_id, r.license) not in got and r.containment >= 0.8
-        got[r.doc_id, r.license] = r
-    want = {(i, n) for i, t in enumerate(texts) for n in brute(t, L.TEMPLATES)} | {(None, "mit-line")}
-    assert set(got) == want and len(want) > 60
+    rows += [rows[0], rows[1], (None, L.TEMPLATES["mit-line"], "x", 0.0), (None, L.TEMPLATES["mit-line"], "x", 0.0), (3, L.TEMPLATES["mit"], "y", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string, containment double")
+    got = L.scan(df).collect()
+    assert all(r.containment >= 0.8 for r in got)
+    want = [(r[0], n) for r in rows for n in brute(r[1], L.TEMPLATES)]
+    assert Counter((r.doc_id, r.license) for r in got) == Counter(want) and len(want) > 60
+    assert Counter(want)[None, "mit-line"] == 2 and (3, "mit") in want
     assert L.scan(df.limit(0)).collect() == []
