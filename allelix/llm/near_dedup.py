@@ -14,7 +14,9 @@ classes of a bucket with its members, which is quadratic in a bucket of dissimil
 
 Where a share e of the words changed at random places, a k-mer stays with (1 - e) ** 5 and the share J of common k-mers among
 all is that over two less it; a pair shares a bucket but for (1 - J ** 2) ** 72. That is 0.06 at an edit similarity of 0.8 and
-under 0.001 at 0.85. tests/llm/test_near_recall.py measures it against all pairs.
+under 0.001 at 0.85. In a short text a change takes a larger part of such k-mers, so texts of up to SHORT words also have 24
+sketches of labelled k-mers of two words (one empty word before and after); pairs of which one text is longer have 40 words
+or more each if they are similar. tests/llm/test_near_recall.py measures recall by length and similarity.
 
 Defined results: a text that is null or has no words links with nothing; rows that share a doc_id are rows of their own; a
 group is told by its smallest doc_id (null if it has none), and exactly one row of it stays: of rows with that doc_id the one
@@ -40,6 +42,8 @@ UNBASE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))  # BASE * UNBASE is 1 i
 _powers, _inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 BINS = 256
+#: Texts of up to this many words have keys of k-mers of two words too.
+SHORT = 48
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -165,6 +169,14 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return bool(x and y) and banded_distance(x, y, band) <= band
 
 
+def keys_of(words: list[str], k: int, sketches: int, picks: int, short: int = SHORT, short_sketches: int = 24) -> np.ndarray:
+    """The bucket keys of a text. Up to `short` words it also has keys of k-mers of two words, of which more stay when a word changes."""
+    keys = order_minhash(labelled_kmers(words, k), sketches, picks)
+    if len(words) > short:
+        return keys
+    return np.concatenate([keys, order_minhash(labelled_kmers(words, 2, 1), short_sketches, picks)])
+
+
 def sketched(docs: DataFrame, k: int, sketches: int, picks: int, row_col: str | None = None) -> DataFrame:
     """row, doc_id, digest, keys of every text; those without words have no keys. Rows are told by row_col or by numbers given here."""
 
@@ -173,7 +185,7 @@ def sketched(docs: DataFrame, k: int, sketches: int, picks: int, row_col: str |
             keys = []
             for t in b["text"]:
                 w = t.split()
-                keys.append(order_minhash(labelled_kmers(w, k), sketches, picks) if w else [])
+                keys.append(keys_of(w, k, sketches, picks) if w else [])
             yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "keys": keys})
 
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
