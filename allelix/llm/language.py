@@ -151,14 +151,14 @@ def fit(docs: DataFrame, per_language: int = 500) -> LanguageModel:
     return LanguageModel(x, sample["lang"].to_numpy())
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs with lang_pred and score; the text alone is read."""
+def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of docs with the language and its score, which replace columns of these names; the text alone is read."""
 
     @F.pandas_udf("lang_pred string, score double")
     def told(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in text], columns=["lang_pred", "score"])
 
-    return docs.withColumn("__told", told(F.col("text"))).withColumns({"lang_pred": F.col("__told.lang_pred"), "score": F.col("__told.score")}).drop("__told")
+    return docs.withColumn("__told", told(F.col("text"))).withColumns({lang_col: F.col("__told.lang_pred"), score_col: F.col("__told.score")}).drop("__told")
 
 
 def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:

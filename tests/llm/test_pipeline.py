@@ -47,6 +47,12 @@ def test_language_stage(spark):
     assert Counter(map(key, got)) == Counter(key(r) for r in rows if r[1] and regex.search(r"\p{L}", r[1]))
 
 
+def test_language_stage_keeps_columns_of_the_models_names(spark):
+    df = table(spark)[1].selectExpr("*", "'MINE' AS lang_pred", "9.0D AS score")
+    got = P.language_id(spark, df, "")
+    assert got.columns == df.columns and {(r.lang_pred, r.score) for r in got.collect()} == {("MINE", 9.0)}
+
+
 def test_exact_stage(spark):
     rows, df = table(spark)
     out = P.exact(spark, df, "")
