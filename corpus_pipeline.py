@@ -28,7 +28,8 @@ def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no language: null texts and texts without a letter."""
-    return language.predict(docs, language.fit(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    told = language.predict(docs, language.fit(docs), "__lang_pred", "__score")
+    return told.where("__lang_pred <> 'und'").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
