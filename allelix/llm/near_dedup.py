@@ -170,10 +170,13 @@ def similar(a: str, b: str, similarity: float) -> bool:
 
 
 def keys_of(words: list[str], k: int, sketches: int, picks: int, short: int = SHORT, short_sketches: int = 24) -> np.ndarray:
-    """The bucket keys of a text. Up to `short` words it also has keys of k-mers of two words, of which more stay when a word changes."""
-    keys = order_minhash(labelled_kmers(words, k), sketches, picks)
+    """The bucket keys of a text. Up to `short` words it also has keys of k-mers of two words, of which more stay when a word changes.
+
+    A text under four fifths of `short` has no similar text over it, so a third of its keys of longer k-mers is enough.
+    """
     if len(words) > short:
-        return keys
+        return order_minhash(labelled_kmers(words, k), sketches, picks)
+    keys = order_minhash(labelled_kmers(words, k), sketches if 5 * len(words) >= 4 * short else -(-sketches // 3), picks)
     return np.concatenate([keys, order_minhash(labelled_kmers(words, 2, 1), short_sketches, picks)])
 
 
@@ -309,8 +312,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches:
     rows = materialize(sketched(docs, k, sketches, picks, row_col), "order-minhash")
     worded = rows.where(F.size("keys") > 0)
     classes = materialize(worded.groupBy("digest").agg(F.min("row").alias("rep")), "text-classes")
-    reps = worded.join(classes.select(F.col("rep").alias("row")), "row", "leftsemi")
-    keyed = materialize(reps.select(F.col("row").alias("rep"), F.explode("keys").alias("key")), "order-buckets")
+    reps = worded.join(small(classes.select(F.col("rep").alias("row")), 16), "row", "leftsemi")
+    keyed = reps.select(F.col("row").alias("rep"), F.explode("keys").alias("key"))  # read again from the written sketches, which take half the room
     edges = _links(keyed, lambda pairs: _texts(docs, classes, pairs), similarity)
     of = classes.join(components(edges), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     told = materialize(worded.select("row", "doc_id", "digest").join(of, "digest"), "near-classes")
