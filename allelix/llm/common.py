@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import BROADCAST_BYTES, materialize, row_numbers, running, scratch, shared_dir, small
 
-__all__ = ["BROADCAST_BYTES", "components", "finished", "materialize", "numbered", "row_numbers", "running", "scratch", "shared_dir", "small", "text_of"]
+__all__ = ["BROADCAST_BYTES", "components", "finished", "materialize", "numbered", "row_numbers", "running", "scratch", "shared_dir", "small", "small_batches", "text_of"]
 
 
 def finished(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +33,18 @@ def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered", keep=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What runs within it passes at most so many rows at once between the JVM and Python, so that whole texts don't pile up in either."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small
+from .common import components, materialize, small, small_batches
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -309,6 +309,11 @@ def _links(keyed: DataFrame, texts_of, similarity: float) -> DataFrame:
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 72, picks: int = 2, row_col: str | None = None) -> DataFrame:
     """doc_id, component_id, group_size, kept (and row, if row_col names a unique row number): one row per row of docs."""
+    with small_batches(docs.sparkSession):  # all that runs Python is written within
+        return _near_groups(docs, similarity, k, sketches, picks, row_col)
+
+
+def _near_groups(docs: DataFrame, similarity: float, k: int, sketches: int, picks: int, row_col: str | None) -> DataFrame:
     rows = materialize(sketched(docs, k, sketches, picks, row_col), "order-minhash")
     worded = rows.where(F.size("keys") > 0)
     classes = materialize(worded.groupBy("digest").agg(F.min("row").alias("rep")), "text-classes")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, small_batches
 
 END = 2
 CACHE = 500_000
@@ -229,7 +229,8 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, bucket_rows: int = 500) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = materialize(tokenized(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(tokenized(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     where = slots(patterns(histogram, capacity))
     sizes = docs.sparkSession.createDataFrame([(w, -(-n // bucket_rows)) for w, n in histogram.items()], "length long, buckets long")
