@@ -1,10 +1,17 @@
-"""Pairwise operators on packed bits: calls become 64-bit words of allele presence, and pairs are compared by word.
+"""Pairwise operators. Calls become 64-bit words of allele presence.
 
-Words are joined on their block, so that a task sees blocks and not the matrix; sums over blocks are partial aggregates.
+All pairs of taxa are compared by tiles: taxa are dealt to TILES tiles, a group is a pair of tiles over one chunk of the sites, and its
+pairs are computed as matrices, so a taxon's data travels once a tile, and what is shuffled after that is one row a pair and chunk.
+Neighbouring sites are joined on their block and bin; sums over blocks are partial aggregates.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +19,67 @@ from ..functions.encoding import presence_bits
 from .summary import site_stats
 
 
+#: The least number of tiles; there are more where the session has more than TILES * (TILES + 1) / 2 shuffle partitions.
+TILES = 24
+#: Words, sites or traits of a chunk. A group holds two tiles of this width.
+WORDS_AT_ONCE, SITES_AT_ONCE = 1024, 4096
+
+
+def tiled_pairs(rows: DataFrame, item: str, kernel: Callable[[pd.DataFrame, pd.DataFrame], dict[str, np.ndarray]], columns: str, diagonal: bool = False, tiles: int | None = None) -> DataFrame:
+    """i < j (or <= with diagonal), chunk and the columns that kernel gives for two sets of rows as matrices, one row a pair and chunk.
+
+    rows: item, chunk and what kernel reads, one row an item and chunk. kernel must give the transposed matrices for swapped sets.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tiles or max(TILES, math.ceil(math.sqrt(2 * parts)))
+    own = rows.withColumn("own", F.pmod(F.xxhash64(item), F.lit(n)).cast("int"))
+    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"p": F.least("own", "o"), "q": F.greatest("own", "o")}).drop("o")
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        p, q = g["p"].iloc[0], g["q"].iloc[0]
+        a = g if p == q else g[g["own"] == p]
+        b = g if p == q else g[g["own"] == q]
+        found = kernel(a, b) if len(a) and len(b) else {}
+        x, y = a[item].to_numpy()[:, None], b[item].to_numpy()[None]
+        if p == q:
+            at = np.nonzero((x <= y) if diagonal else (x < y))
+        else:
+            at = tuple(k.ravel() for k in np.indices((len(a), len(b))))
+        i, j = x[at[0], 0], y[0, at[1]]
+        told = {"i": np.minimum(i, j), "j": np.maximum(i, j), "chunk": g["chunk"].iloc[0]} | {k: found[k][at] if found else np.zeros(0) for k in names}
+        return pd.DataFrame(told)
+
+    return dealt.groupBy("p", "q", "chunk").applyInPandas(compare, f"i int, j int, chunk long, {columns}")
+
+
+def _dense(index: pd.Series, value: pd.Series, fill: float = 0.0) -> np.ndarray:
+    """A matrix (row, index) of the arrays of each row; indexes begin at the chunk's first one, which all rows share."""
+    wide = 1 + max((int(np.max(x)) for x in index if len(x)), default=0)
+    out = np.full((len(index), wide), fill)
+    for r, (at, v) in enumerate(zip(index, value, strict=True)):
+        out[r, np.asarray(at, np.int64)] = v
+    return out
+
+
+def _widened(a: np.ndarray, b: np.ndarray, fill: float) -> tuple[np.ndarray, np.ndarray]:
+    wide = max(a.shape[1], b.shape[1])
+    return tuple(np.pad(x, ((0, 0), (0, wide - x.shape[1])), constant_values=fill) for x in (a, b))
+
+
+def products(values: DataFrame, item: str, feature: str, value: str) -> DataFrame:
+    """i <= j and s, the sum over features of the product of both items' values; absent ones are 0. feature: whole numbers from 0."""
+    at = F.pmod(F.col(feature), F.lit(SITES_AT_ONCE)).cast("int")
+    rows = values.groupBy(item, F.floor(F.col(feature) / SITES_AT_ONCE).alias("chunk")).agg(F.collect_list(F.struct(at.alias("at"), F.col(value).cast("double").alias("v"))).alias("x"))
+    rows = rows.select(item, "chunk", "x.at", "x.v")
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> dict[str, np.ndarray]:
+        x, y = _widened(_dense(a["at"], a["v"]), _dense(b["at"], b["v"]), 0.0)
+        return {"s": x @ y.T}
+
+    return tiled_pairs(rows, item, kernel, "s double", diagonal=True).groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
 def _words(calls: DataFrame, item: str, other: str, homozygous: bool = False) -> DataFrame:
     """(item, block, mj, mn): presence of the site's major and minor allele over 64 of the other dimension."""
     s = site_stats(calls).select("site_id", "major", "minor")
@@ -37,12 +105,35 @@ def _n(x):
     return F.sum(F.bit_count(x).cast("long"))
 
 
-def ibs(calls: DataFrame, min_sites: int = 0) -> DataFrame:
-    """taxon_i < taxon_j, dist, sites: 1 - (same - het / 2) / (same + diff - het); null unless sites are over min_sites."""
-    p = _pairs(_words(calls, "taxon_id", "site_id"), "taxon_id")
-    same = (F.col("mj1").bitwiseAND(F.col("mj2"))).bitwiseOR(F.col("mn1").bitwiseAND(F.col("mn2")))
-    diff = (F.col("mj1").bitwiseAND(F.col("mn2"))).bitwiseOR(F.col("mn1").bitwiseAND(F.col("mj2")))
-    g = p.groupBy("i", "j").agg(_n(same).alias("same"), _n(diff).alias("diff"), _n(same.bitwiseAND(diff)).alias("het"))
+def _word_matrix(g: pd.DataFrame, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    mj, mn = np.zeros((len(g), wide), np.uint64), np.zeros((len(g), wide), np.uint64)
+    for r, (at, x, y) in enumerate(zip(g["at"], g["mj"], g["mn"], strict=True)):
+        mj[r, at], mn[r, at] = np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)
+    return mj, mn
+
+
+def _shared_sites(a: pd.DataFrame, b: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Sites at which two taxa show a common allele, different ones, and both."""
+    wide = 1 + max(int(np.max(x)) for x in (*a["at"], *b["at"]))
+    (amj, amn), (bmj, bmn) = _word_matrix(a, wide), _word_matrix(b, wide)
+    out = {k: np.zeros((len(a), len(b)), np.int64) for k in ("same", "diff", "het")}
+    n = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    for r in range(len(a)):
+        same, diff = (amj[r] & bmj) | (amn[r] & bmn), (amj[r] & bmn) | (amn[r] & bmj)
+        out["same"][r], out["diff"][r], out["het"][r] = n(same), n(diff), n(same & diff)
+    return out
+
+
+def ibs(calls: DataFrame, min_sites: int = 0, diagonal: bool = False, masked: DataFrame | None = None) -> DataFrame:
+    """taxon_i < taxon_j, dist, sites: 1 - (same - het / 2) / (same + diff - het); null unless sites are over min_sites.
+
+    diagonal: each taxon's distance to itself too, which its heterozygous calls keep from 0. masked: site_id of sites to leave out.
+    """
+    used = calls if masked is None else calls.join(masked.select("site_id"), "site_id", "leftanti")
+    at = F.pmod(F.col("block"), F.lit(WORDS_AT_ONCE)).cast("int")
+    rows = _words(used, "taxon_id", "site_id").groupBy("taxon_id", F.floor(F.col("block") / WORDS_AT_ONCE).alias("chunk")).agg(F.collect_list(F.struct(at.alias("at"), "mj", "mn")).alias("x"))
+    p = tiled_pairs(rows.select("taxon_id", "chunk", "x.at", "x.mj", "x.mn"), "taxon_id", _shared_sites, "same long, diff long, het long", diagonal)
+    g = p.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("same", "diff", "het")])
     sites = F.col("same") + F.col("diff") - F.col("het")
     return g.select(F.col("i").alias("taxon_i"), F.col("j").alias("taxon_j"), F.when((sites > 0) & (sites > min_sites), 1 - (F.col("same") - F.col("het") / 2) / sites).alias("dist"), sites.alias("sites"))
 
@@ -63,31 +154,36 @@ def ld(calls: DataFrame, window: int | None = 50, min_taxa: int = 20, homozygous
     return g.select(F.col("i").alias("site_i"), F.col("j").alias("site_j"), n.cast("long").alias("n"), F.when(fine, d * d / (pa * (1 - pa) * pb * (1 - pb))).alias("r2"), F.when(fine & (most > 0), F.abs(d) / most).alias("d_prime"), "mj_mj", "mj_mn", "mn_mj", "mn_mn")
 
 
-def haplotype_distance(calls: DataFrame, block: int = 64) -> DataFrame:
-    """taxon_i < taxon_j, dist: over shared sites, two homozygous calls that differ count 2, a heterozygous call and another one 1, missing 0; pairs without a shared site have no row.
+def _call_distance(a: pd.DataFrame, b: pd.DataFrame) -> dict[str, np.ndarray]:
+    x, y = _widened(_dense(a["at"], a["v"], -1), _dense(b["at"], b["v"], -1), -1)
+    x, y = x.astype(np.int16), y.astype(np.int16)
+    hx, hy = x % 17 != 0, y % 17 != 0  # calls are 16 * lower + upper allele
+    d, n = np.zeros((len(x), len(y)), np.int64), np.zeros((len(x), len(y)), np.int64)
+    for r in range(len(x)):
+        both = (x[r] >= 0) & (y >= 0)
+        n[r] = both.sum(axis=1)
+        d[r] = (both & (x[r] != y)).sum(axis=1) * 2 - (both & (x[r] != y) & (hx[r] | hy)).sum(axis=1)
+    return {"d": d, "n": n}
 
-    Calls travel as one map per taxon and block of sites; blocks are joined, so that a pair's rows are sites / block.
-    """
-    c = calls.where("a1 < 14 and a2 < 14").select("taxon_id", F.floor(F.col("site_id") / block).alias("block"), "site_id", (F.least("a1", "a2") * 16 + F.greatest("a1", "a2")).alias("call"))
-    g = c.groupBy("taxon_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("site_id", "call"))).alias("m"))
-    b = g.select(F.col("taxon_id").alias("taxon_j"), "block", F.col("m").alias("m2"))
-    het = lambda x: F.pmod(x, F.lit(17)) != 0
-    cell = lambda x, y: F.when(x == y, 0).when(het(x) | het(y), 1).otherwise(2)
-    both = F.map_values(F.map_zip_with("m", "m2", lambda k, x, y: F.when(x.isNull() | y.isNull(), 0).otherwise(cell(x, y))))
-    d = g.join(b, "block").where("taxon_id < taxon_j").withColumn("d", F.aggregate(both, F.lit(0).cast("long"), lambda s, e: s + e))
-    d = d.withColumn("n", F.size(F.array_intersect(F.map_keys("m"), F.map_keys("m2"))))
-    return d.groupBy(F.col("taxon_id").alias("taxon_i"), "taxon_j").agg(F.sum("d").alias("dist"), F.sum("n").alias("n")).where("n > 0").drop("n")
+
+def haplotype_distance(calls: DataFrame) -> DataFrame:
+    """taxon_i < taxon_j, dist: over shared sites, two homozygous calls that differ count 2, a heterozygous call and another one 1, missing 0; pairs without a shared site have no row."""
+    at = F.pmod(F.col("site_id"), F.lit(SITES_AT_ONCE)).cast("int")
+    call = (F.least("a1", "a2") * 16 + F.greatest("a1", "a2")).cast("int")
+    c = calls.where("a1 < 14 and a2 < 14").groupBy("taxon_id", F.floor(F.col("site_id") / SITES_AT_ONCE).alias("chunk")).agg(F.collect_list(F.struct(at.alias("at"), call.alias("v"))).alias("x"))
+    p = tiled_pairs(c.select("taxon_id", "chunk", "x.at", "x.v"), "taxon_id", _call_distance, "d long, n long")
+    return p.groupBy(F.col("i").alias("taxon_i"), F.col("j").alias("taxon_j")).agg(F.sum("d").alias("dist"), F.sum("n").alias("n")).where("n > 0").drop("n")
 
 
 def kinship(calls: DataFrame) -> DataFrame:
     """taxon_i <= taxon_j: sum over sites and alleles but the last ranked of centred dosages, over 2 * sum p (1 - p); missing is the mean."""
     s = site_stats(calls).select("site_id", "gametes", F.explode(F.slice("alleles", 1, F.greatest(F.size("alleles") - 1, F.lit(0)))).alias("x"))
     s = s.select("site_id", F.col("x.allele").alias("allele"), (F.col("x.n") / F.col("gametes")).alias("p"))
-    d = calls.where("a1 < 14 and a2 < 14").join(s, "site_id").select("taxon_id", "site_id", "allele", ((F.col("a1") == F.col("allele")).cast("int") + (F.col("a2") == F.col("allele")).cast("int") - 2 * F.col("p")).alias("w"))
+    dosage = (F.col("a1") == F.col("allele")).cast("int") + (F.col("a2") == F.col("allele")).cast("int") - 2 * F.col("p")
+    d = calls.where("a1 < 14 and a2 < 14").join(s, "site_id").select("taxon_id", (F.col("site_id").cast("long") * 16 + F.col("allele")).alias("feature"), dosage.alias("w"))
     scale = s.agg((2 * F.sum(F.col("p") * (1 - F.col("p")))).alias("scale"))
-    b = d.select(F.col("taxon_id").alias("taxon_j"), "site_id", "allele", F.col("w").alias("w2"))
-    g = d.join(b, ["site_id", "allele"]).where("taxon_id <= taxon_j").groupBy(F.col("taxon_id").alias("taxon_i"), "taxon_j").agg(F.sum(F.col("w") * F.col("w2")).alias("g"))
-    return g.join(F.broadcast(scale)).select("taxon_i", "taxon_j", (F.col("g") / F.col("scale")).alias("k"))
+    g = products(d, "taxon_id", "feature", "w")
+    return g.join(F.broadcast(scale)).select(F.col("i").alias("taxon_i"), F.col("j").alias("taxon_j"), (F.col("s") / F.col("scale")).alias("k"))
 
 
 def kinship_from_ibs(dist: DataFrame, ceiling: float = 2.0) -> DataFrame:
@@ -107,9 +203,27 @@ def squared_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def trait_distance(values: DataFrame, squared: bool = False, of: DataFrame | None = None) -> DataFrame:
-    """values: taxon_id, trait, value. Mean Manhattan or squared distance over the traits that both have; each pair once, or, with `of` (taxon_id), each of these with every other."""
-    v = values.where("value is not null")
-    b = v.select(F.col("taxon_id").alias("taxon_j"), "trait", F.col("value").alias("v2"))
-    x = F.col("value") - F.col("v2")
-    pairs = v.join(b, "trait").where("taxon_id < taxon_j") if of is None else v.join(of, "taxon_id", "leftsemi").join(b, "trait").where("taxon_id <> taxon_j")
-    return pairs.groupBy(F.col("taxon_id").alias("taxon_i"), "taxon_j").agg(F.avg(x * x if squared else F.abs(x)).alias("dist"))
+    """values: taxon_id, trait, value. Mean Manhattan or squared distance over the traits that both have; each pair once, or, with `of` (taxon_id), each of these with every other.
+
+    Traits of a taxon are one row; there are few beside sites. Of equal taxa and traits the mean counts.
+    """
+    v = values.where("value is not null").groupBy("taxon_id", "trait").agg(F.avg("value").alias("value"))
+    rows = v.groupBy("taxon_id").agg(F.collect_list("trait").alias("at"), F.collect_list("value").alias("v")).withColumn("chunk", F.lit(0).cast("long"))
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> dict[str, np.ndarray]:
+        names = {t: i for i, t in enumerate(sorted({t for at in (*a["at"], *b["at"]) for t in at}))}
+        x, y = np.full((len(a), len(names)), np.nan), np.full((len(b), len(names)), np.nan)
+        for m, g in ((x, a), (y, b)):
+            for r, (at, value) in enumerate(zip(g["at"], g["v"], strict=True)):
+                m[r, [names[t] for t in at]] = value
+        s, n = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)), np.int64)
+        for r in range(len(x)):
+            d = x[r] - y
+            s[r], n[r] = np.nansum(d * d if squared else np.abs(d), axis=1), (~np.isnan(d)).sum(axis=1)
+        return {"s": s, "n": n}
+
+    p = tiled_pairs(rows, "taxon_id", kernel, "s double, n long").where("n > 0").select(F.col("i").alias("taxon_i"), F.col("j").alias("taxon_j"), (F.col("s") / F.col("n")).alias("dist"))
+    if of is None:
+        return p
+    both = p.union(p.select("taxon_j", "taxon_i", "dist"))
+    return both.join(of.select(F.col("taxon_id").alias("taxon_i")).distinct(), "taxon_i", "leftsemi")

@@ -8,22 +8,43 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import mismatches
 from ..functions.stats import het_thresholds
+from ..functions.tables import small
 
 TAG = 64
 
 
+def spelled(head, most: int, letters: str = "ACGTN"):
+    """All texts that differ from head in at most so many places."""
+    out, each = F.array(head), F.array(*map(F.lit, letters))
+
+    def changed(h):
+        at = lambda i: F.transform(each, lambda x: F.concat(F.substring(h, F.lit(1), i - 1), x, F.substring(h, i + 1, F.length(h))))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(h)), at))
+
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, changed))))
+    return out
+
+
 def demultiplex(reads: DataFrame, keys: DataFrame, remnants: list[str], max_mismatch: int = 0) -> DataFrame:
-    """reads (read_id, seq) with the taxon whose barcode and cut-site remnant begin it. keys: barcode, taxon. Longer barcodes win, fewer mismatches first; a tie for the best gives none."""
-    k = F.broadcast(keys.select("barcode", "taxon", F.explode(F.array(*map(F.lit, remnants))).alias("remnant")))  # a key file: one row per sample of a lane
-    head = F.concat("barcode", "remnant")
-    start = F.substring(F.col("seq"), F.lit(1), F.length(head))
-    if max_mismatch == 0:
-        j = reads.join(k, F.expr("startswith(seq, concat(barcode, remnant))")).withColumn("miss", F.lit(0))
-    else:
-        j = reads.join(k, F.length("seq") >= F.length(head)).withColumn("miss", mismatches(start, head)).where(F.col("miss") <= max_mismatch)
-    best = j.groupBy("read_id", "seq").agg(F.collect_list(F.struct("miss", (-F.length("barcode")).alias("l"), "barcode", "taxon")).alias("b"))
-    b = best.withColumn("b", F.array_sort("b"))
-    first, second = F.col("b")[0], F.get("b", F.lit(1))
+    """reads (read_id, seq) with the taxon whose barcode and cut-site remnant begin it. keys: barcode, taxon. Fewer mismatches come first, then longer barcodes; a tie for the best gives none.
+
+    The keys are spelled out with their mismatches, and reads meet them by equality of the beginning, one join for each length of barcode and
+    remnant; reads aren't shuffled where the spelled keys are small.
+    """
+    k = keys.select("barcode", "taxon", F.explode(F.array(*map(F.lit, remnants))).alias("remnant")).withColumn("head", F.concat("barcode", "remnant"))
+    v = k.withColumn("start", F.explode(spelled(F.col("head"), max_mismatch))).withColumn("miss", mismatches("start", "head"))
+    hit = F.struct("miss", (-F.length("barcode")).alias("l"), "barcode", "taxon")
+    v = v.groupBy(F.length("head").alias("n"), "start").agg(F.array_sort(F.collect_list(hit)).alias("b"))
+    out, found = reads.select("read_id", "seq"), []
+    for n in sorted(r["n"] for r in k.select(F.length("head").alias("n")).distinct().collect()):  # a few lengths of barcodes
+        own = v.where(F.col("n") == n).select(F.col("start").alias(f"start_{n}"), F.col("b").alias(f"b_{n}"))
+        out = out.join(small(own, 200), F.substring("seq", 1, n) == F.col(f"start_{n}"), "left")
+        found.append(F.coalesce(F.col(f"b_{n}"), F.array().cast(v.schema["b"].dataType)))
+    if not found:
+        return out.select("read_id", "seq", F.lit(None).cast("string").alias("barcode"), F.lit(None).cast("string").alias("taxon")).where(F.lit(False))
+    b = out.select("read_id", "seq", F.array_sort(F.concat(*found)).alias("b")).where(F.size("b") > 0)
+    first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
     tie = F.coalesce((first["miss"] == second["miss"]) & (first["l"] == second["l"]) & (first["barcode"] != second["barcode"]), F.lit(False))
     return b.where(~tie).select("read_id", "seq", first["barcode"].alias("barcode"), first["taxon"].alias("taxon"))
 
@@ -56,7 +77,7 @@ def merge_counts(*counts: DataFrame) -> DataFrame:
 
 def similar_tags(a: DataFrame, b: DataFrame, max_mismatch: int = 3, word: int = 16) -> DataFrame:
     """Pairs of tags that share a word at one of the fixed places and differ in at most max_mismatch bases; with three mismatches over four words none is missed."""
-    w = lambda d, n: d.select(F.col("tag").alias(n), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TAG // word - 1)), lambda i: F.substring("tag", i * word + 1, F.lit(word)))).alias("at", "w"))
+    w = lambda d, n: d.select(F.col("tag").alias(n)).select(n, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TAG // word - 1)), lambda i: F.substring(n, i * word + 1, F.lit(word)))).alias("at", "w"))
     p = w(a, "tag").join(w(b, "match"), ["at", "w"]).select("tag", "match").distinct()
     return p.withColumn("miss", mismatches("tag", "match")).where(F.col("miss") <= max_mismatch)
 
