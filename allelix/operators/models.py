@@ -39,37 +39,50 @@ def glm(calls: DataFrame, values: DataFrame, factors: list[str] = (), covariates
     return values.dropna().join(c, "taxon_id").groupBy("trait", "site_id").applyInPandas(one, GLM)
 
 
-def glm_permutations(calls: DataFrame, values: DataFrame, permutations: int = 100, seed: int = 1) -> DataFrame:
-    """Least p over all sites for each permutation of the values. Permutations are drawn by taxon from the seed, the same for all sites; taxa-sized."""
-    v = values.dropna().select("taxon_id", "value").orderBy("taxon_id").toPandas()
+def glm_permutations(calls: DataFrame, values: DataFrame, permutations: int = 100, seed: int = 1, factors: list[str] = (), covariates: list[str] = ()) -> DataFrame:
+    """Least p over all sites for each permutation of the residuals of the model without a site (mean, factors, covariates), which are added to its fitted values.
+
+    Permutations are drawn by taxon from the seed, the same for all sites; taxa-sized. A site is tested over the same model; sites with
+    fewer than three taxa give no p.
+    """
+    v = values.dropna().select("taxon_id", "value", *factors, *covariates).orderBy("taxon_id").toPandas()
     rng = np.random.default_rng(seed)
-    y = v["value"].to_numpy(float)
-    shuffled = np.array([rng.permutation(y - y.mean()) + y.mean() for _ in range(permutations)])
+    y, design = v["value"].to_numpy(float), _design(v, list(factors), list(covariates))
+    fitted = design @ np.linalg.lstsq(design, y, rcond=None)[0] if len(v) else y
+    shuffled = np.array([rng.permutation(y - fitted) + fitted for _ in range(permutations)])
     at = {t: i for i, t in enumerate(v["taxon_id"])}
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         rows = g[g["taxon_id"].isin(at)]
         if len(rows) < 3:
             return pd.DataFrame({"permutation": [], "p": []})
-        x = np.hstack([np.ones((len(rows), 1)), pd.get_dummies(rows["call"], drop_first=True).to_numpy(float)])
-        q, rank = np.linalg.qr(x)[0], np.linalg.matrix_rank(x)
-        ys = shuffled[:, [at[t] for t in rows["taxon_id"]]]
-        ys = ys - ys.mean(1, keepdims=True)
-        total, model = (ys**2).sum(1), ((ys @ q) ** 2).sum(1)
-        df, error = rank - 1, len(rows) - rank
-        f = [m / df / ((t - m) / error) if df > 0 and error > 0 and t > m else 0.0 for t, m in zip(total, model, strict=True)]
-        return pd.DataFrame({"permutation": range(permutations), "p": [f_test(a, df, error) if df > 0 and error > 0 else 1.0 for a in f]})
+        own = [at[t] for t in rows["taxon_id"]]
+        base = design[own]
+        full = np.hstack([base, pd.get_dummies(rows["call"], drop_first=True).to_numpy(float)])
+        ys = shuffled[:, own]
+        left = [((ys - ys @ u @ u.T) ** 2).sum(1) for u in (_span(base), _span(full))]
+        df = _span(full).shape[1] - _span(base).shape[1]
+        error = len(rows) - _span(full).shape[1]
+        f = [(r0 - r1) / df / (r1 / error) if df > 0 and error > 0 and r1 > 1e-12 else 0.0 for r0, r1 in zip(*left, strict=True)]
+        return pd.DataFrame({"permutation": range(permutations), "p": [f_test(max(0.0, a), df, error) if df > 0 and error > 0 else 1.0 for a in f]})
 
     c = calls.where("a1 < 14 and a2 < 14").select("taxon_id", "site_id", (F.least("a1", "a2") * 16 + F.greatest("a1", "a2")).alias("call"))
     return c.groupBy("site_id").applyInPandas(one, "permutation int, p double").groupBy("permutation").agg(F.min("p").alias("min_p"))
 
 
+def _span(x: np.ndarray) -> np.ndarray:
+    """Orthonormal columns that span those of x."""
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    return u[:, s > 1e-9 * max(1.0, s.max(initial=0.0))]
+
+
 def with_fisher(ld: DataFrame) -> DataFrame:
-    """Adds the two-tailed exact p of the four counts."""
+    """Adds the two-tailed exact p of the four counts; equal counts of a batch are tested once."""
 
     @F.pandas_udf("double")
     def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([fisher(int(w), int(x), int(y), int(z))[2] for w, x, y, z in zip(a, b, c, d, strict=True)])
+        counts, which = np.unique(np.stack([x.to_numpy(np.int64) for x in (a, b, c, d)], axis=1), axis=0, return_inverse=True)
+        return pd.Series(np.array([fisher(*map(int, r))[2] for r in counts], float)[which.ravel()])
 
     return ld.withColumn("p", p("mj_mj", "mj_mn", "mn_mj", "mn_mn"))
 
