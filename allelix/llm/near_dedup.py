@@ -44,6 +44,8 @@ MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 BINS = 256
 #: Texts of up to this many words have keys of k-mers of two words too.
 SHORT = 48
+#: Texts of up to this many words are aligned with many others at once.
+TABLED = 160
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -162,6 +164,18 @@ def _in_band(a: list[str], b: list[str], band: int) -> int:
     return score
 
 
+def distances_to(one: np.ndarray, many: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Edit distance of one sequence of word numbers to each row of many, filled up beyond its length; a row of all matrices at a time."""
+    steps = np.arange(many.shape[1] + 1, dtype=np.int16)
+    row = np.tile(steps, (len(many), 1))
+    for n, x in enumerate(one, 1):
+        new = np.empty_like(row)
+        new[:, 0] = n
+        new[:, 1:] = np.minimum(row[:, :-1] + (many != x), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # a word lacking after another
+    return row[np.arange(len(many)), lengths]
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     x, y = a.split(), b.split()
     longer = max(len(x), len(y))
@@ -259,6 +273,9 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
             table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), 2 * BINS)
             reps, words, c, others = (b[n].to_numpy() for n in ("rep", "words", "c", "text"))
             split: dict[int, list[str]] = {}
+            known: dict[str, int] = {}
+            number = lambda ws: [known.setdefault(w, len(known)) for w in ws]  # noqa: E731, B023
+            rows_of, matrix = np.full(len(b), -1), np.zeros((0, TABLED), np.int32)
             for rep, n, own, comp, text in zip(a["rep"], a["words"], a["bag"], a["c"], a["text"], strict=True):
                 band = (np.maximum(words, n) * (1 - similarity) + 1e-9).astype(np.int64)
                 at = np.flatnonzero((c != comp) & (reps != rep) & (np.abs(words - n) <= band))
@@ -269,6 +286,19 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
                     at = at[np.maximum(more, less) <= most * band[at]]
                 if len(at):
                     mine = text.split()
+                    if n <= TABLED:  # short texts are aligned all at once
+                        short = at[words[at] <= TABLED]
+                        new = short[rows_of[short] < 0]
+                        if len(new):
+                            more = np.full((len(new), TABLED), -1, np.int32)
+                            for r, i in enumerate(new):
+                                more[r, : words[i]] = number(others[i].split())
+                            rows_of[new] = len(matrix) + np.arange(len(new))
+                            matrix = np.concatenate([matrix, more])
+                        wide = int(words[short].max(initial=0))
+                        d = distances_to(np.array(number(mine)), matrix[rows_of[short], :wide], words[short])
+                        out.update((min(rep, reps[i]), max(rep, reps[i])) for i in short[d <= band[short]])
+                        at = at[words[at] > TABLED]
                     for i in at:
                         if i not in split:
                             split[i] = others[i].split()

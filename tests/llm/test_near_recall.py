@@ -39,6 +39,17 @@ def test_banded_distance_is_the_edit_distance_within_the_band():
         assert N.banded_distance(a, b, band) == (d if d <= band else band + 1) or d > band and N.banded_distance(a, b, band) > band
 
 
+def test_distances_to_many_are_edit_distances():
+    rng = random.Random(6)
+    one = [rng.randrange(6) for _ in range(25)]
+    many = [edited(rng, one, rng.randint(0, 12)) if rng.random() < 0.7 else [rng.randrange(6) for _ in range(rng.randint(1, 40))] for _ in range(300)]
+    many = [[x if isinstance(x, int) else 7 for x in m] for m in many]
+    table = N.np.full((len(many), max(map(len, many))), -1)
+    for r, m in zip(table, many, strict=True):
+        r[: len(m)] = m
+    assert N.distances_to(N.np.array(one), table, N.np.array([len(m) for m in many])).tolist() == [plain(one, m) for m in many]
+
+
 @pytest.mark.parametrize("length", [5, 8, 10, 15, 20, 30, 46, 200, 800])
 def test_recall_by_length_and_band_of_similarity(spark, length):
     rng = random.Random(7)
