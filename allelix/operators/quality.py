@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,3 +167,37 @@ def allele_shares(calls: DataFrame) -> DataFrame:
     """Per site and allele its count and its share of the site's alleles."""
     a = allele_counts(calls)
     return a.join(site_stats(calls).select("site_id", "gametes"), "site_id").select("site_id", "allele", "n", (F.col("n") / F.col("gametes")).alias("share"))
+
+
+def contingency_permutations(tables: DataFrame, permutations: int = 1000, seed: int = 1) -> DataFrame:
+    """tables: id, counts (array of rows of counts). id, p: the share of tables with the same sums, drawn at random, that are at most as probable as the given one.
+
+    Draws depend on the seed and the table's own counts only. A table under two rows or columns with counts has p 1; rows of unequal length are refused.
+    """
+
+    @F.pandas_udf("double")
+    def p(counts: pd.Series) -> pd.Series:
+        return pd.Series([_permuted(np.array([list(r) for r in t], np.int64), permutations, seed) for t in counts])
+
+    return tables.select("id", p("counts").alias("p"))
+
+
+def _permuted(t: np.ndarray, permutations: int, seed: int) -> float:
+    t = t[t.sum(axis=1) > 0][:, t.sum(axis=0) > 0]
+    if min(t.shape) < 2:
+        return 1.0
+    rng = np.random.default_rng([seed, *map(int, t.ravel())])
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, t.sum() + 1)))])
+    left, weight = np.tile(t.sum(axis=0), (permutations, 1)), np.zeros(permutations)
+    for n in t.sum(axis=1):  # a row at a time from what the rows before have left of the columns
+        row = np.zeros_like(left)
+        rest = np.full(permutations, n)
+        below = left.sum(axis=1)
+        for c in range(left.shape[1] - 1):
+            below = below - left[:, c]
+            row[:, c] = rng.hypergeometric(left[:, c], below, rest)
+            rest = rest - row[:, c]
+        row[:, -1] = rest
+        left = left - row
+        weight += logs[row].sum(axis=1)
+    return float((weight >= logs[t].sum() - 1e-9).mean())

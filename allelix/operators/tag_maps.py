@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,12 @@ def grid_markers(calls: DataFrame, interval: float) -> DataFrame:
     lv, rv, lx, rx = F.col("l.value"), F.col("r.value"), F.col("l.cm"), F.col("r.cm")
     at = F.when(rx > lx, lv + (rv - lv) * (F.col("cm") - lx) / (rx - lx)).otherwise(F.coalesce(lv, rv))
     return both.where("step is not null").select("taxon_id", "chrom", "cm", at.alias("value"))
+
+
+def merge_maps(*maps: DataFrame) -> DataFrame:
+    """tag, chrom, strand, pos, places: all tags of the maps (tag, chrom, strand, pos). A tag that all maps which place it put at one place keeps it; one with several places has none, and places counts them."""
+    every = reduce(lambda a, b: a.unionByName(b), [m.select("tag", "chrom", "strand", "pos") for m in maps])
+    place = F.when(F.col("chrom").isNotNull() & F.col("pos").isNotNull(), F.struct("chrom", "strand", "pos"))
+    g = every.groupBy("tag").agg(F.min(place).alias("lo"), F.size(F.collect_set(place)).alias("places"))
+    one = F.when(F.col("places") == 1, F.col("lo"))
+    return g.select("tag", one["chrom"].alias("chrom"), one["strand"].alias("strand"), one["pos"].alias("pos"), "places")

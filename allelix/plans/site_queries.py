@@ -172,6 +172,18 @@ def vcf_round_trip(spark, d):
     return text.read(spark, path, "vcf").drop("depth")
 
 
+@query("vcf_depth_round_trip", _CELLS + """, dp AS (SELECT g.taxon_id, g.site_id, string_agg(CAST((g.taxon_id + g.site_id + r.allele) % 7 AS VARCHAR), ',' ORDER BY rk) AS depth FROM geno g JOIN ranked r ON r.site_id = g.site_id GROUP BY 1, 2)
+  SELECT n.taxon, n.snp_id, n.chrom, n.pos, coalesce(a1, 15) AS a1, coalesce(a2, 15) AS a2, coalesce(depth, '') AS depth FROM n LEFT JOIN geno g ON g.taxon_id = n.taxon_id AND g.site_id = n.site_id LEFT JOIN dp ON dp.taxon_id = n.taxon_id AND dp.site_id = n.site_id""")
+def vcf_depth_round_trip(spark, d):
+    """Depths of an allele are told by the numbers of taxon, site and allele. The format is guessed by the first lines."""
+    path = shared_dir(spark, "calls-with-depth")
+    t = trait_view(spark, d).select("taxon_id", "taxon")
+    depth = F.array(*[((F.col("taxon_id") + F.col("site_id") + k) % 7).cast("int") for k in range(6)])
+    c = geno(spark, d).withColumn("depth", depth).join(t, "taxon_id").join(positions(spark, d), "site_id").select("taxon", "snp_id", F.col("chrom").cast("string").alias("chrom"), "pos", "a1", "a2", "depth")
+    text.write(c, path, "vcf")
+    return text.read(spark, path).withColumn("depth", F.array_join("depth", ","))
+
+
 def _all_cells(spark, d):
     c = named_calls(spark, d)
     every = c.select("taxon").distinct().withColumn("k", F.lit(1)).join(c.select("snp_id", "chrom", "pos").distinct().withColumn("k", F.lit(1)), "k").drop("k")

@@ -62,3 +62,13 @@ def top_donors(spark, d):
 def grid_markers(spark, d):
     v = traits.collapsed(geno(spark, d)).join(positions(spark, d), "site_id").select("taxon_id", "chrom", (F.col("pos") / F.lit(100.0)).alias("cm"), "value")
     return tag_maps.grid_markers(v, 5.0).withColumn("value", r9("value"))
+
+
+@query("merged_tag_maps", """WITH m AS (SELECT p_partkey AS tag, CASE WHEN p_size % 4 > 0 THEN p_size % 7 END AS chrom, 1 AS strand, p_size AS pos FROM part UNION ALL SELECT l_partkey, CASE WHEN l_linenumber > 2 THEN l_partkey % 7 END, 1, CAST(l_partkey % 2 * l_linenumber AS INT) FROM lineitem),
+  d AS (SELECT DISTINCT tag, chrom, strand, pos FROM m WHERE chrom IS NOT NULL), g AS (SELECT tag, count(*) AS n, min(chrom) AS chrom, min(strand) AS strand, min(pos) AS pos FROM d GROUP BY 1)
+  SELECT t.tag, CASE WHEN n = 1 THEN g.chrom END AS chrom, CASE WHEN n = 1 THEN g.strand END AS strand, CASE WHEN n = 1 THEN g.pos END AS pos, CAST(coalesce(n, 0) AS INT) AS places FROM (SELECT DISTINCT tag FROM m) t LEFT JOIN g ON g.tag = t.tag""")
+def merged_tag_maps(spark, d):
+    p = spark.read.parquet(f"{d.rstrip('/')}/part.parquet")
+    a = p.select(F.col("p_partkey").alias("tag"), F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 7).cast("long").alias("chrom"), F.lit(1).alias("strand"), F.col("p_size").cast("int").alias("pos"))
+    b = lineitem(spark, d).select(F.col("l_partkey").alias("tag"), F.when(F.col("l_linenumber") > 2, F.col("l_partkey") % 7).cast("long").alias("chrom"), F.lit(1).alias("strand"), (F.col("l_partkey") % 2 * F.col("l_linenumber")).cast("int").alias("pos"))
+    return tag_maps.merge_maps(a, b)

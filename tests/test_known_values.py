@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from allelix.functions.stats import het_thresholds
-from allelix.operators import models, reads, sites
+from allelix.operators import models, quality, reads, sites
 
 CALLS = "taxon_id int, site_id int, a1 int, a2 int"
 
@@ -106,3 +106,15 @@ def test_permutations_of_residuals(spark):
             best = min(best, f_test((rss[0] - rss[1]) / df / (rss[1] / error), int(df), int(error)))
         assert got[p] == pytest.approx(best, rel=1e-6)
     assert c.where(F.col("a1") > 15).count() == 0
+
+
+def test_contingency_permutations(spark):
+    """Two rows and columns give the exact test's p but for chance; the same table gives the same p; a table of one row gives 1."""
+    tables = [[[3, 9], [8, 2]], [[10, 10], [11, 9]], [[5, 0], [0, 5]], [[4, 5, 6]], [[1, 2], [0, 0]], [[3, 9], [8, 2]]]
+    got = {r.id: r.p for r in quality.contingency_permutations(spark.createDataFrame(list(enumerate(tables)), "id int, counts array<array<int>>"), 20_000).collect()}
+    for i in (0, 1, 2):
+        (a, b), (c, d) = tables[i]
+        assert got[i] == pytest.approx(exact_fisher(a, b, c, d), abs=0.012)
+    assert got[3] == 1 and got[4] == 1 and got[5] == got[0]
+    three = {r.id: r.p for r in quality.contingency_permutations(spark.createDataFrame([(0, [[9, 1, 1], [1, 9, 1], [1, 1, 9]]), (1, [[4, 4, 4], [4, 4, 4]])], "id int, counts array<array<int>>"), 2000).collect()}
+    assert three[0] < 0.001 and three[1] > 0.9
