@@ -45,7 +45,7 @@ BINS = 256
 #: Texts of up to this many words have keys of k-mers of two words too.
 SHORT = 48
 #: Texts of up to this many words are aligned with many others at once.
-TABLED = 160
+TABLED = 2048
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -164,16 +164,25 @@ def _in_band(a: list[str], b: list[str], band: int) -> int:
     return score
 
 
-def distances_to(one: np.ndarray, many: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Edit distance of one sequence of word numbers to each row of many, filled up beyond its length; a row of all matrices at a time."""
-    steps = np.arange(many.shape[1] + 1, dtype=np.int16)
-    row = np.tile(steps, (len(many), 1))
+def distances_to(one: np.ndarray, many: np.ndarray, lengths: np.ndarray, band: int) -> np.ndarray:
+    """Edit distance of one sequence of word numbers to each row of many, filled up with -1 beyond its length, where it is at most band; else a larger number.
+
+    All matrices move down by a row at a time; of a row, the 2 * band + 1 columns round the diagonal are held.
+    """
+    far, wide = np.int32(1 << 28), 2 * band + 1
+    padded = np.pad(many, ((0, 0), (band, band + max(0, len(one) - many.shape[1]) + 1)), constant_values=-1)
+    steps = np.arange(wide, dtype=np.int32)
+    row = np.tile(np.where(steps >= band, steps - band, far), (len(many), 1))  # column c of row n stands at c - n + band
     for n, x in enumerate(one, 1):
-        new = np.empty_like(row)
-        new[:, 0] = n
-        new[:, 1:] = np.minimum(row[:, :-1] + (many != x), row[:, 1:] + 1)
+        new = row + (padded[:, n - 1 : n - 1 + wide] != x)
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        if n <= band:
+            new[:, : band - n] = far
+            new[:, band - n] = n
         row = np.minimum.accumulate(new - steps, axis=1) + steps  # a word lacking after another
-    return row[np.arange(len(many)), lengths]
+    at = lengths - len(one) + band
+    inside = (at >= 0) & (at < wide)
+    return np.where(inside, row[np.arange(len(many)), np.clip(at, 0, wide - 1)], far)
 
 
 def similar(a: str, b: str, similarity: float) -> bool:
@@ -275,7 +284,7 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
             split: dict[int, list[str]] = {}
             known: dict[str, int] = {}
             number = lambda ws: [known.setdefault(w, len(known)) for w in ws]  # noqa: E731, B023
-            rows_of, matrix = np.full(len(b), -1), np.zeros((0, TABLED), np.int32)
+            numbers: dict[int, np.ndarray] = {}
             for rep, n, own, comp, text in zip(a["rep"], a["words"], a["bag"], a["c"], a["text"], strict=True):
                 band = (np.maximum(words, n) * (1 - similarity) + 1e-9).astype(np.int64)
                 at = np.flatnonzero((c != comp) & (reps != rep) & (np.abs(words - n) <= band))
@@ -286,18 +295,18 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
                     at = at[np.maximum(more, less) <= most * band[at]]
                 if len(at):
                     mine = text.split()
-                    if n <= TABLED:  # short texts are aligned all at once
+                    if n <= TABLED:  # aligned with many others at once
+                        own_ids = np.array(number(mine), np.int32)
                         short = at[words[at] <= TABLED]
-                        new = short[rows_of[short] < 0]
-                        if len(new):
-                            more = np.full((len(new), TABLED), -1, np.int32)
-                            for r, i in enumerate(new):
-                                more[r, : words[i]] = number(others[i].split())
-                            rows_of[new] = len(matrix) + np.arange(len(new))
-                            matrix = np.concatenate([matrix, more])
-                        wide = int(words[short].max(initial=0))
-                        d = distances_to(np.array(number(mine)), matrix[rows_of[short], :wide], words[short])
-                        out.update((min(rep, reps[i]), max(rep, reps[i])) for i in short[d <= band[short]])
+                        for lo in range(0, len(short), 256):
+                            some = short[lo : lo + 256]
+                            table = np.full((len(some), int(words[some].max())), -1, np.int32)
+                            for r, i in enumerate(some):
+                                if i not in numbers:
+                                    numbers[i] = np.array(number(others[i].split()), np.int32)
+                                table[r, : words[i]] = numbers[i]
+                            d = distances_to(own_ids, table, words[some], int(band[some].max()))
+                            out.update((min(rep, reps[i]), max(rep, reps[i])) for i in some[d <= band[some]])
                         at = at[words[at] > TABLED]
                     for i in at:
                         if i not in split:

@@ -47,7 +47,10 @@ def test_distances_to_many_are_edit_distances():
     table = N.np.full((len(many), max(map(len, many))), -1)
     for r, m in zip(table, many, strict=True):
         r[: len(m)] = m
-    assert N.distances_to(N.np.array(one), table, N.np.array([len(m) for m in many])).tolist() == [plain(one, m) for m in many]
+    want = [plain(one, m) for m in many]
+    for band in (0, 1, 3, 8, 30, 60):
+        got = N.distances_to(N.np.array(one), table, N.np.array([len(m) for m in many]), band).tolist()
+        assert all(g == w if w <= band else g > band for g, w in zip(got, want, strict=True)), band
 
 
 @pytest.mark.parametrize("length", [5, 8, 10, 15, 20, 30, 46, 200, 800])
