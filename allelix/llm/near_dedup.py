@@ -41,7 +41,7 @@ BASE = np.uint64(0x5851F42D4C957F2D)
 UNBASE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))  # BASE * UNBASE is 1 in 64 bits
 _powers, _inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
-BINS = 256
+BINS, PAIR_BINS = 256, 512
 #: Texts of up to this many words have keys of k-mers of two words too.
 SHORT = 48
 #: Texts of up to this many words are aligned with many others at once.
@@ -167,22 +167,33 @@ def _in_band(a: list[str], b: list[str], band: int) -> int:
 def distances_to(one: np.ndarray, many: np.ndarray, lengths: np.ndarray, band: int) -> np.ndarray:
     """Edit distance of one sequence of word numbers to each row of many, filled up with -1 beyond its length, where it is at most band; else a larger number.
 
-    All matrices move down by a row at a time; of a row, the 2 * band + 1 columns round the diagonal are held.
+    All matrices move down by a row at a time; of a row, the 2 * band + 1 columns round the diagonal are held, each less its place, so
+    that a word lacking after another is a running minimum.
     """
-    far, wide = np.int32(1 << 28), 2 * band + 1
-    padded = np.pad(many, ((0, 0), (band, band + max(0, len(one) - many.shape[1]) + 1)), constant_values=-1)
-    steps = np.arange(wide, dtype=np.int32)
-    row = np.tile(np.where(steps >= band, steps - band, far), (len(many), 1))  # column c of row n stands at c - n + band
+    far, wide, count = np.int16(1 << 14), 2 * band + 1, len(many)
+    padded = np.full((2 * band + max(many.shape[1], len(one)) + 1, count), -1, np.int32)
+    padded[band : band + many.shape[1]] = many.T
+    row = np.full((wide, count), far, np.int16)  # column c of row n stands at c - n + band
+    row[band:] = -band
+    differs, new = np.empty((wide, count), bool), np.empty((wide, count), np.int16)
     for n, x in enumerate(one, 1):
-        new = row + (padded[:, n - 1 : n - 1 + wide] != x)
-        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        np.not_equal(padded[n - 1 : n - 1 + wide], x, out=differs)
+        np.add(row, differs, out=new)
+        row[1:] += 2
+        np.minimum(new[:-1], row[1:], out=new[:-1])
         if n <= band:
-            new[:, : band - n] = far
-            new[:, band - n] = n
-        row = np.minimum.accumulate(new - steps, axis=1) + steps  # a word lacking after another
+            new[: band - n] = far
+            new[band - n] = 2 * n - band
+        shift = 1
+        while shift < wide:  # the running minimum in few steps over all columns, which is faster than accumulate
+            np.copyto(row, new)
+            np.minimum(new[shift:], new[:-shift], out=row[shift:])
+            row, new, shift = new, row, 2 * shift
+        row, new = new, row
     at = lengths - len(one) + band
     inside = (at >= 0) & (at < wide)
-    return np.where(inside, row[np.arange(len(many)), np.clip(at, 0, wide - 1)], far)
+    at = np.clip(at, 0, wide - 1)
+    return np.where(inside, row[at, np.arange(count)] + at, 1 << 20)
 
 
 def similar(a: str, b: str, similarity: float) -> bool:
@@ -235,13 +246,13 @@ def _candidates(keyed: DataFrame) -> DataFrame:
 
 
 def bag(words: list[str]) -> bytes:
-    """How many words, and then how many pairs of neighbours, fall in each of BINS bins, 255 at most.
+    """How many words fall in each of BINS bins, and then how many pairs of neighbours in each of PAIR_BINS, 255 at most.
 
     No two texts' bags of words differ more than the texts do, and bags of pairs by twice as much, as an edit touches two pairs.
     """
     h = word_hashes(words)
-    bins = lambda x: np.minimum(np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
-    return bins(h).tobytes() + bins(_mix(h[:-1] * PRIME + h[1:])).tobytes()
+    bins = lambda x, n: np.minimum(np.bincount((x % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8)
+    return bins(h, BINS).tobytes() + bins(_mix(h[:-1] * PRIME + h[1:]), PAIR_BINS).tobytes()
 
 
 def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, strays_block: int = 1024, block: int = 1024) -> DataFrame:
@@ -262,7 +273,7 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
 
     of = texts.mapInPandas(bags, "rep long, text string, words long, bag binary").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of = materialize(of.select("rep", "text", "words", "bag", F.coalesce("component", "rep").alias("c")), "bags")
-    longest = of.agg(F.sum(F.octet_length("text") + 2 * BINS + 60), F.count(F.lit(1))).first()
+    longest = of.agg(F.sum(F.octet_length("text") + BINS + PAIR_BINS + 60), F.count(F.lit(1))).first()
     of = small(of, -(-(longest[0] or 0) // max(1, longest[1])), longest[1])
     sizes = strays.groupBy("key").agg(F.count(F.lit(1)).alias("s")).join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
     few = F.col("m") <= 32  # many buckets of a few rows are one group; it runs through them one by one
@@ -279,7 +290,7 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
         out = set()
         for _, g in rows.groupby("key", sort=False):
             a, b = g[g["stray"]], g[~g["stray"]]
-            table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), 2 * BINS)
+            table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), BINS + PAIR_BINS)
             reps, words, c, others = (b[n].to_numpy() for n in ("rep", "words", "c", "text"))
             split: dict[int, list[str]] = {}
             known: dict[str, int] = {}
@@ -289,7 +300,7 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
                 band = (np.maximum(words, n) * (1 - similarity) + 1e-9).astype(np.int64)
                 at = np.flatnonzero((c != comp) & (reps != rep) & (np.abs(words - n) <= band))
                 own = np.frombuffer(own, np.uint8).astype(np.int16)
-                for half, most in ((slice(0, BINS), 1), (slice(BINS, 2 * BINS), 2)):
+                for half, most in ((slice(0, BINS), 1), (slice(BINS, BINS + PAIR_BINS), 2)):
                     d = table[at, half] - own[half]
                     more, less = np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)
                     at = at[np.maximum(more, less) <= most * band[at]]
