@@ -311,12 +311,12 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
                         short = at[words[at] <= TABLED]
                         for lo in range(0, len(short), 256):
                             some = short[lo : lo + 256]
-                            table = np.full((len(some), int(words[some].max())), -1, np.int32)
+                            ids = np.full((len(some), int(words[some].max())), -1, np.int32)
                             for r, i in enumerate(some):
                                 if i not in numbers:
                                     numbers[i] = np.array(number(others[i].split()), np.int32)
-                                table[r, : words[i]] = numbers[i]
-                            d = distances_to(own_ids, table, words[some], int(band[some].max()))
+                                ids[r, : words[i]] = numbers[i]
+                            d = distances_to(own_ids, ids, words[some], int(band[some].max()))
                             out.update((min(rep, reps[i]), max(rep, reps[i])) for i in some[d <= band[some]])
                         at = at[words[at] > TABLED]
                     for i in at:

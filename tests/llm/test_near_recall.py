@@ -99,6 +99,26 @@ def test_all_links_against_all_pairs_on_text_of_few_words(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_links_within_a_bucket_of_dissimilar_texts(spark):
+    """Texts that share most of their words but aren't similar, so that many of them fail with their bucket's leader and meet each other."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(100)]
+    texts = []
+    for i in range(45):
+        texts.append([*passage, *(f"o{i}-{j}" for j in range(42))])
+        if i % 3 == 0:
+            texts.append(edited(rng, texts[-1], 20))
+    joined = [" ".join(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if N.similar(joined[i], joined[j], 0.8):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r.doc_id: r.component_id for r in N.near_groups(spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == root and len(set(root)) < len(texts)
+
+
 def test_shared_and_null_ids_repeated_rows_and_odd_texts(spark):
     base = [f"w{i}" for i in range(100)]
     a, b, c = " ".join(base), " ".join([*base[:50], "x", *base[51:]]), " ".join(f"q{i}" for i in range(80))
