@@ -46,6 +46,8 @@ BINS, PAIR_BINS = 256, 512
 SHORT = 48
 #: Texts of up to this many words are aligned with many others at once.
 TABLED = 2048
+#: From so many on that is faster than one by one.
+TOGETHER = 64
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -306,9 +308,9 @@ def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFram
                     at = at[np.maximum(more, less) <= most * band[at]]
                 if len(at):
                     mine = text.split()
-                    if n <= TABLED:  # aligned with many others at once
+                    short = at[words[at] <= TABLED] if n <= TABLED else at[:0]
+                    if len(short) >= TOGETHER:  # aligned with many others at once
                         own_ids = np.array(number(mine), np.int32)
-                        short = at[words[at] <= TABLED]
                         for lo in range(0, len(short), 256):
                             some = short[lo : lo + 256]
                             ids = np.full((len(some), int(words[some].max())), -1, np.int32)

@@ -99,8 +99,10 @@ def test_all_links_against_all_pairs_on_text_of_few_words(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
-def test_links_within_a_bucket_of_dissimilar_texts(spark):
+@pytest.mark.parametrize("together", [1, 64])
+def test_links_within_a_bucket_of_dissimilar_texts(spark, monkeypatch, together):
     """Texts that share most of their words but aren't similar, so that many of them fail with their bucket's leader and meet each other."""
+    monkeypatch.setattr(N, "TOGETHER", together)
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(100)]
     texts = []
