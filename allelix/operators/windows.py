@@ -13,7 +13,7 @@ from .summary import site_stats
 def diversity(stats: DataFrame) -> DataFrame:
     """pi, theta and Tajima's D from one row per group: n (real sample size), sites, seg, pi_sum (sum of pairwise diversity)."""
     a1 = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil("n").cast("int") - 1)), F.lit(0.0), lambda a, i: a + 1.0 / i)
-    a2 = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil("n").cast("int") - 1)), F.lit(0.0), lambda a, i: a + 1.0 / (i * i))
+    a2 = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil("n").cast("int") - 1)), F.lit(0.0), lambda a, i: a + 1.0 / (i.cast("double") * i))
     s = stats.withColumns({"a1": a1, "a2": a2})
     n, x1, x2, seg = F.col("n"), F.col("a1"), F.col("a2"), F.col("seg")
     b1, b2 = (n + 1) / (3 * (n - 1)), 2 * (n * n + n + 3) / (9 * n * (n - 1))
