@@ -1,11 +1,14 @@
 """What keeps queries within bounds on larger tables."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from allelix.operators import pairs
+from allelix.operators import association, pairs, traits, windows
+from allelix.sources import text
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +41,53 @@ def test_pairs_are_summed_in_their_tile(calls, f, monkeypatch):
 def test_tiles_are_bounded_by_taxa():
     assert pairs.tiles_of(100, 200) == 2 and pairs.tiles_of(60_000, 4) == 30
     assert pairs.tiles_of(0, 4) == 1
+
+
+def test_diversity_of_many_taxa(spark):
+    """The squares of 60,000 and more don't fit an int."""
+    stats = spark.createDataFrame([(70_000.0, 10, 3, 1.5)], "n double, sites long, seg long, pi double")
+    row = windows.diversity(stats).first()
+    assert row["a2"] == pytest.approx(math.pi**2 / 6 - 1 / 70_000, abs=1e-9) and row["tajima_d"] is not None
+
+
+def test_formats_are_guessed_by_the_first_file(spark, tmp_path):
+    """Spark reads the largest file of a folder first."""
+    (tmp_path / "part-00000.txt").write_text("##fileformat=VCFv4.0\n")
+    (tmp_path / "part-00001.txt").write_text("1\t5\ts\tA\tC\t.\tPASS\t.\tGT\t0/0\n" * 50)
+    assert text.guess(str(tmp_path), spark) == "vcf"
+
+
+def test_lines_are_split_once_a_line(spark, tmp_path):
+    """Names of different lengths in the header; nothing above the generator splits the whole line."""
+    names = ["a", "bbb", "cc"]
+    (tmp_path / "x.hmp.txt").write_text("\t".join([*text.HAPMAP, *names]) + "\n" + "\t".join(["s", "A/C", "1", "5", "+", *["NA"] * 6, "AC", "CC", "NN"]) + "\n")
+    df = text.read_hapmap(spark, str(tmp_path / "x.hmp.txt"))
+    assert [tuple(r) for r in df.collect()] == [("a", "s", "1", 5, 0, 1), ("bbb", "s", "1", 5, 1, 1), ("cc", "s", "1", 5, 15, 15)]
+    assert "split(value" not in _plan(df).split("Generate")[0] and "lambda" not in _plan(df)
+
+
+def test_estimates_keep_a_cell_a_row(spark):
+    """A trait's rows are summed up before its task; rows that repeat weigh as rows."""
+    rows = [(t, "y", float(t + (e == "b") * 2 + k), e) for t in range(4) for e in "ab" for k in range(t + 3 if e == "a" else 2)]
+    v = spark.createDataFrame(rows, "taxon_id int, trait string, value double, env string")
+    got = association.estimates_by_taxon(v, ["env"])
+    x = np.array([[*(t == i for i in range(4)), e == "b"] for t, _, _, e in rows], float)
+    b = np.linalg.lstsq(x, np.array([r[2] for r in rows]), rcond=None)[0]
+    told = got.orderBy("taxon_id").collect()
+    assert [r["blue"] for r in told] == pytest.approx(b[:4] + b[4] / 2) and [r["n"] for r in told] == [t + 5 for t in range(4)]
+    assert _plan(got).count("Aggregate") == 1
+
+
+def test_nearest_taxa_come_from_every_tile(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(t, k, None if r.random() < 0.3 else float(r.randint(0, 9))) for t in range(40) for k in ("x", "y", "z")]
+    v = spark.createDataFrame(rows, "taxon_id int, trait string, value double")
+    own = {t: {k: x for u, k, x in rows if u == t and x is not None} for t in range(40)}
+    want = {}
+    for t, k, x in rows:
+        near = sorted((sum(abs(own[t][m] - own[u][m]) for m in own[t].keys() & own[u]) / len(own[t].keys() & own[u]), u) for u in own if u != t and k in own[u] and own[t].keys() & own[u])[:3]
+        want[t, k] = x if x is not None else sum(own[u][k] for _, u in near) / len(near) if near else None
+    for k, x in {"LEAST_TAXA": 1, "TILE_TAXA": 7}.items():
+        monkeypatch.setattr(pairs, k, x)
+    got = {(a["taxon_id"], a["trait"]): a["value"] for a in traits.knn_impute(v, 3).collect()}
+    assert got == {k: x if x is None else pytest.approx(x) for k, x in want.items()}
