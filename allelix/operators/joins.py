@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.encoding import MISSING, equal, is_missing, pair_similarity
+from ..functions.encoding import MISSING, equal, is_missing
+from .pairs import PAIRS_AT_ONCE, _runs, tiles_of
 
 
 def common_taxa(*lists: DataFrame, key: str = "taxon_id") -> DataFrame:
@@ -70,14 +74,55 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def synonyms(names: DataFrame, known: DataFrame) -> DataFrame:
-    """The best known name for each name by letter pairs: names meet over shared pairs only; ties go to the smaller name."""
+    """name, score, known: the best known name for each name by letter pairs that they share; ties go to the smaller name.
+
+    The score is pair_similarity. A task compares a tile of the names with a tile of the known ones and returns each name's best of that tile only:
+    the n-th occurrences of letter pairs are columns of two matrices, whose product counts what two names share.
+    """
     from ..functions.encoding import bigrams
 
-    x = names.select(F.col("taxon").alias("name"), F.explode(F.array_distinct(bigrams("taxon"))).alias("g"))
-    y = known.select(F.col("taxon").alias("known"), F.explode(F.array_distinct(bigrams("taxon"))).alias("g"))
-    pairs = x.join(y, "g").select("name", "known").distinct().withColumn("score", pair_similarity("name", "known"))
-    best = pairs.groupBy("name").agg(F.max("score").alias("score"))
-    return pairs.join(best, ["name", "score"]).groupBy("name", "score").agg(F.min("known").alias("known"))
+    pairs_of = lambda df: df.select("taxon").distinct().select("taxon", bigrams("taxon").alias("g")).where(F.size("g") > 0)
+    x, y = pairs_of(names), pairs_of(known)
+    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t, u = tiles_of(x.count(), parts), tiles_of(y.count(), parts)
+    deal = lambda n: F.pmod(F.xxhash64("taxon"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = x.select("taxon", "g", F.lit(True).alias("target"), deal(t).alias("p"), upto(u).alias("q"))
+    b = y.select("taxon", "g", F.lit(False).alias("target"), upto(t).alias("p"), deal(u).alias("q"))
+
+    def nth(g) -> list[tuple[str, int]]:
+        seen: dict[str, int] = {}
+        out = []
+        for pair in g:
+            seen[pair] = seen.get(pair, 0) + 1
+            out.append((pair, seen[pair]))
+        return out
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, g in _runs(batches, ["p", "q"]):
+            a, b = g[g["target"]], g[~g["target"]].sort_values("taxon")
+            if not len(a) or not len(b):
+                continue
+            of, wanted = {}, [nth(v) for v in b["g"]]
+            has = [[of.setdefault(f, len(of)) for f in v] for v in wanted]
+            m = np.zeros((len(b), len(of)), np.float32)
+            for r, at in enumerate(has):
+                m[r, at] = 1
+            size, own = b["g"].map(len).to_numpy(), b["taxon"].to_numpy()
+            step = max(1, PAIRS_AT_ONCE // len(b))
+            for r in range(0, len(a), step):
+                part = a.iloc[r : r + step]
+                k = np.zeros((len(part), len(of)), np.float32)
+                for i, v in enumerate(part["g"]):
+                    k[i, [of[f] for f in nth(v) if f in of]] = 1
+                score = 2.0 * (k @ m.T).astype(np.float64) / (part["g"].map(len).to_numpy()[:, None] + size)
+                top = score.argmax(axis=1)  # the first of equal ones is the smaller name
+                told = pd.DataFrame({"name": part["taxon"].to_numpy(), "score": score[np.arange(len(part)), top], "known": own[top]})
+                yield told[told["score"] > 0]
+
+    told = a.unionByName(b).repartition(t * u, "p", "q").sortWithinPartitions("p", "q").mapInPandas(best, "name string, score double, known string")
+    g = told.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("less"), "known")).alias("x"))
+    return g.select("name", (-F.col("x.less")).alias("score"), "x.known")
 
 
 def convert_coordinates(positions: DataFrame, mapping: DataFrame) -> DataFrame:

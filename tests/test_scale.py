@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from allelix.operators import association, pairs, traits, windows
+from allelix.functions import encoding
+from allelix.operators import association, donors, joins, pairs, traits, windows
 from allelix.sources import text
 
 
@@ -91,3 +92,29 @@ def test_nearest_taxa_come_from_every_tile(spark, monkeypatch):
         monkeypatch.setattr(pairs, k, x)
     got = {(a["taxon_id"], a["trait"]): a["value"] for a in traits.knn_impute(v, 3).collect()}
     assert got == {k: x if x is None else pytest.approx(x) for k, x in want.items()}
+
+
+def test_synonyms_come_from_every_tile(spark, monkeypatch):
+    """The best by pair_similarity over all pairs, without a join by letter pair."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcA ") for _ in range(r.randint(1, 7)))
+    a, b = ([(word(),) for _ in range(60)] for _ in range(2))
+    a, b = spark.createDataFrame(a, "taxon string"), spark.createDataFrame(b, "taxon string")
+    every = a.distinct().select(F.col("taxon").alias("name")).crossJoin(b.distinct().select(F.col("taxon").alias("known")))
+    every = every.select("name", "known", encoding.pair_similarity("name", "known").alias("score")).where("score > 0")
+    want = {}
+    for row in sorted(every.collect(), key=lambda r: (-r["score"], r["known"])):
+        want.setdefault(row["name"], (row["score"], row["known"]))
+    for k, x in {"LEAST_TAXA": 1, "TILE_TAXA": 7}.items():
+        monkeypatch.setattr(pairs, k, x)
+    got = joins.synonyms(a, b)
+    assert "Join" not in _plan(got)
+    assert {r["name"]: (r["score"], r["known"]) for r in got.collect()} == want
+
+
+def test_presence_counts_meet_in_buckets(spark):
+    word = "array<struct<word: int, mj: long, mn: long>>"
+    t = spark.createDataFrame([(i, 1, 0, [(0, i, 7), (1, 3, i)]) for i in range(9)], f"taxon_id int, chrom int, block int, words {word}")
+    d = spark.createDataFrame([(i, 1, 0, [(0, 5, i)]) for i in range(4)], f"donor int, chrom int, block int, words {word}")
+    one, many = (donors.presence_counts(t, d, n) for n in (100, 2))
+    assert "bucket" in _plan(many) and sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and many.count() == 36
