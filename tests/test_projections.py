@@ -1,7 +1,9 @@
 """Clusters of haplotypes against a loop over pairs; projection files that don't hold what they say."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from allelix.operators import haplotype_clusters as H
@@ -49,6 +51,16 @@ def test_clusters_are_those_of_a_loop(spark):
         assert {(r.cluster, r.score, r.taxon_id, round(r.share, 9), r.seed) for r in got if r.block == block} == want and len(want) > 30
 
 
+def test_many_equal_haplotypes_are_not_compared_pair_by_pair(spark):
+    at = time.time()
+    found = H.clusters_of(np.array([[0, 0, 17]] * 20_000 + [[17, 0, 17], [-1, 0, 17]]))
+    assert time.time() - at < 5
+    assert [len(c) for c in found] == [20_001, 2] and found[0][-1] == found[1][-1] == (20_001, 0.5)
+    calls = spark.range(6000).selectExpr("cast(id as int) taxon_id", "explode(sequence(0, 3)) site_id").selectExpr("taxon_id", "site_id", "case when site_id = 3 and taxon_id % 3 = 2 then 15 else (taxon_id % 3) * cast(site_id = 3 as int) end a1").selectExpr("*", "a1 a2")
+    got = H.haplotype_clusters(calls, spark.createDataFrame([(s, 1, s) for s in range(4)], "site_id int, chrom int, pos int"), 4).groupBy("cluster", "score", "share", "seed").count().collect()
+    assert {tuple(r) for r in got} == {(c, 3000.0, *x) for c in (0, 1) for x in ((1.0, True, 1), (1.0, False, 1999), (0.5, False, 2000))}
+
+
 @pytest.mark.parametrize("text", ["", "2\t1\n0\ta\nt\t1:1:5:0:0\n", "1\t1\n0\ta\nt\t1:1:5:0:3\n"])
 def test_files_that_are_refused(spark, tmp_path, text):
     (tmp_path / "p").write_text(text)
