@@ -27,7 +27,7 @@ def spelled(head, most: int, letters: str = "ACGTN"):
 
 
 def demultiplex(reads: DataFrame, keys: DataFrame, remnants: list[str], max_mismatch: int = 0) -> DataFrame:
-    """reads (read_id, seq) with the taxon whose barcode and cut-site remnant begin it. keys: barcode, taxon. Fewer mismatches come first, then longer barcodes; a tie for the best gives none.
+    """reads (read_id, seq, or seq, n) with the taxon whose barcode and cut-site remnant begin it. keys: barcode, taxon. Fewer mismatches come first, then longer barcodes; a tie for the best gives none.
 
     The keys are spelled out with their mismatches, and reads meet them by equality of the beginning, one join for each length of barcode and
     remnant; reads aren't shuffled where the spelled keys are small.
@@ -36,36 +36,46 @@ def demultiplex(reads: DataFrame, keys: DataFrame, remnants: list[str], max_mism
     v = k.withColumn("start", F.explode(spelled(F.col("head"), max_mismatch))).withColumn("miss", mismatches("start", "head"))
     hit = F.struct("miss", (-F.length("barcode")).alias("l"), "barcode", "taxon")
     v = v.groupBy(F.length("head").alias("n"), "start").agg(F.array_sort(F.collect_list(hit)).alias("b"))
-    out, found = reads.select("read_id", "seq"), []
+    own = [c for c in ("read_id", "seq", "n") if c in reads.columns]
+    out, found = reads.select(*own), []
     for n in sorted(r["n"] for r in k.select(F.length("head").alias("n")).distinct().collect()):  # a few lengths of barcodes
-        own = v.where(F.col("n") == n).select(F.col("start").alias(f"start_{n}"), F.col("b").alias(f"b_{n}"))
-        out = out.join(small(own, 200), F.substring("seq", 1, n) == F.col(f"start_{n}"), "left")
+        heads = v.where(F.col("n") == n).select(F.col("start").alias(f"start_{n}"), F.col("b").alias(f"b_{n}"))
+        out = out.join(small(heads, 200), F.substring("seq", 1, n) == F.col(f"start_{n}"), "left")
         found.append(F.coalesce(F.col(f"b_{n}"), F.array().cast(v.schema["b"].dataType)))
     if not found:
-        return out.select("read_id", "seq", F.lit(None).cast("string").alias("barcode"), F.lit(None).cast("string").alias("taxon")).where(F.lit(False))
-    b = out.select("read_id", "seq", F.array_sort(F.concat(*found)).alias("b")).where(F.size("b") > 0)
+        return out.select(*own, F.lit(None).cast("string").alias("barcode"), F.lit(None).cast("string").alias("taxon")).where(F.lit(False))
+    b = out.select(*own, F.array_sort(F.concat(*found)).alias("b")).where(F.size("b") > 0)
     first, second = F.get("b", F.lit(0)), F.get("b", F.lit(1))
     tie = F.coalesce((first["miss"] == second["miss"]) & (first["l"] == second["l"]) & (first["barcode"] != second["barcode"]), F.lit(False))
-    return b.where(~tie).select("read_id", "seq", first["barcode"].alias("barcode"), first["taxon"].alias("taxon"))
+    return b.where(~tie).select(*own, first["barcode"].alias("barcode"), first["taxon"].alias("taxon"))
+
+
+def counted(reads: DataFrame) -> DataFrame:
+    """seq, n: each different read once, with how often it occurs, so that the steps to tags take it once; they keep n."""
+    return reads.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _occurrences(t: DataFrame):
+    return F.sum("n") if "n" in t.columns else F.count(F.lit(1))
 
 
 def tags(demuxed: DataFrame, cut_sites: list[str], length: int = TAG) -> DataFrame:
-    """tag (padded with A), len and taxon of reads without N; cut after the second cut site."""
+    """tag (padded with A), len and taxon (and n, if reads have it) of reads without N; cut after the second cut site."""
     insert = F.expr("substring(seq, length(barcode) + 1)")
     hits = [F.when(F.locate(s, insert, 2) > 0, F.locate(s, insert, 2) - 1 + len(s)) for s in cut_sites]
     end = F.least(F.lit(length), F.length(insert), *hits) if hits else F.least(F.lit(length), F.length(insert))
     t = demuxed.withColumn("len", end.cast("int")).withColumn("cut", F.substring(insert, F.lit(1), F.col("len")))
-    return t.where(~F.col("cut").contains("N")).select("taxon", F.rpad("cut", length, "A").alias("tag"), "len")
+    return t.where(~F.col("cut").contains("N")).select("taxon", F.rpad("cut", length, "A").alias("tag"), "len", *[c for c in ("n",) if c in t.columns])
 
 
 def tag_counts(t: DataFrame, min_count: int = 1) -> DataFrame:
-    return t.groupBy("tag", "len").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
+    return t.groupBy("tag", "len").agg(_occurrences(t).alias("count")).where(F.col("count") >= min_count)
 
 
 def tags_by_taxa(t: DataFrame, master: DataFrame | None = None) -> DataFrame:
     if master is not None:
         t = t.join(master.select("tag"), "tag", "leftsemi")
-    return t.groupBy("tag", "taxon").agg(F.count(F.lit(1)).alias("count"))
+    return t.groupBy("tag", "taxon").agg(_occurrences(t).alias("count"))
 
 
 def merge_counts(*counts: DataFrame) -> DataFrame:
