@@ -197,8 +197,9 @@ def plink_round_trip(spark, d):
     return text.read_plink(spark, ped, map_)
 
 
-def sequences(spark, d):
+def sequences(spark, d, tasks=None):
     p = spark.read.parquet(f"{d.rstrip('/')}/part.parquet")
+    p = p.repartition(tasks, "p_partkey") if tasks else p
     return p.select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.translate(F.concat(F.md5("p_name"), F.md5("p_type")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence"))
 
 
@@ -250,7 +251,8 @@ def report_round_trip(spark, d):
 @query("packed_sequences", _SEQ + """, w AS (SELECT name, sequence, i, substr(sequence, CAST(1 + 31 * i AS INT), 31) AS s FROM q, range(0, 3) r(i) WHERE 31 * i < length(sequence))
   SELECT name, CAST(i AS INT) AS word, list_sum([CAST(instr('ACGT', s[CAST(k AS INT)]) - 1 AS HUGEINT) * (CAST(1 AS HUGEINT) << CAST(2 * (length(s) - k) AS INT)) for k in range(1, length(s) + 1)])::BIGINT AS bits, sequence FROM w""")
 def packed_sequences(spark, d):
-    s = sequences(spark, d).withColumn("w", encoding.packed_sequence("sequence"))
+    """Rows are dealt to all cores, as the parts' file is small for its work."""
+    s = sequences(spark, d, 4 * spark.sparkContext.defaultParallelism).withColumn("w", encoding.packed_sequence("sequence"))
     s = s.withColumn("sequence", encoding.unpacked_sequence("w", F.length("sequence")))
     return s.select("name", F.posexplode("w").alias("word", "bits"), "sequence")
 
