@@ -20,7 +20,8 @@ def cigar_segments(cigar: Column) -> Column:
         r = acc["r"] + F.when(x["op"].isin("M", "D", "N", "=", "X"), x["n"]).otherwise(0)
         return F.struct(q.alias("q"), r.alias("r"), F.concat(acc["segs"], F.array(seg)).alias("segs")).cast(_SEGMENTS)
 
-    return F.aggregate(parts, start, step)["segs"]
+    whole = F.array(F.struct(F.lit("M").alias("op"), F.regexp_substr(cigar, F.lit(r"^\d+")).cast("int").alias("n"), F.lit(0).alias("q"), F.lit(0).alias("r")))
+    return F.when(cigar.rlike(r"^\d+M$"), whole).otherwise(F.aggregate(parts, start, step)["segs"])  # one operation is most lines
 
 
 def md_marks(md: Column) -> Column:
@@ -35,12 +36,12 @@ def md_marks(md: Column) -> Column:
         r = acc["r"] + F.when(number, F.expr("0")).otherwise(F.length(bases)) + F.when(number, x.try_cast("int")).otherwise(0)
         return F.struct(r.alias("r"), F.when(number, acc["marks"]).otherwise(F.concat(acc["marks"], F.array(mark))).alias("marks")).cast(_MARKS)
 
-    return F.aggregate(parts, start, step)["marks"]
+    none = F.array().cast("array<struct<r:int,ref:string,deleted:boolean>>")
+    return F.when(md.rlike(r"^\d*$"), none).otherwise(F.aggregate(parts, start, step)["marks"])
 
 
-def variants(pos: Column, cigar: Column, md: Column, seq: Column) -> Column:
-    """array of (pos, ref, alt) by place on the reference: mismatches one base each, deletions with alt '-', insertions with ref '-' at the base before them."""
-    segs = cigar_segments(cigar)
+def variants(pos: Column, segs: Column, marks: Column, seq: Column) -> Column:
+    """From cigar_segments and md_marks, as columns so that they are made once: array of (pos, ref, alt) by place on the reference: mismatches one base each, deletions with alt '-', insertions with ref '-' at the base before them."""
     kind = "array<struct<pos:int,ref:string,alt:string>>"
 
     def base(m):
@@ -49,9 +50,10 @@ def variants(pos: Column, cigar: Column, md: Column, seq: Column) -> Column:
         return F.upper(F.substring(seq, s["q"] + m["r"] - s["r"] + 1, F.lit(1)))
 
     of = lambda p, ref, alt: F.struct(p.cast("int").alias("pos"), ref.alias("ref"), alt.alias("alt"))
-    marked = F.transform(md_marks(F.coalesce(md, F.lit(""))), lambda m: of(pos + m["r"], m["ref"], F.when(m["deleted"], F.lit("-")).otherwise(base(m))))
+    marked = F.transform(marks, lambda m: of(pos + m["r"], m["ref"], F.when(m["deleted"], F.lit("-")).otherwise(base(m))))
     inserted = F.transform(F.filter(segs, lambda s: s["op"] == "I"), lambda s: of(pos + s["r"] - 1, F.lit("-"), F.upper(F.substring(seq, s["q"] + 1, s["n"]))))
-    return F.array_sort(F.concat(marked.cast(kind), inserted.cast(kind)))
+    none = (F.size(marks) == 0) & ~F.exists(segs, lambda s: s["op"] == "I")
+    return F.when(none, F.array().cast(kind)).otherwise(F.array_sort(F.concat(marked.cast(kind), inserted.cast(kind))))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -69,10 +71,11 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     placed = (flag.bitwiseAND(4) == 0) & (F.col("f")[2] != "*") & (cigar != "*")
     minus = flag.bitwiseAND(16) != 0
     r = r.select(F.col("f")[0].alias("name"), F.upper(F.col("f")[9]).alias("seq"), placed.alias("placed"), minus.alias("minus"), F.col("f")[2].alias("chrom"), F.col("f")[3].cast("int").alias("pos"), cigar.alias("cigar"), "md", "hits", "divergence")
-    span = F.aggregate(F.transform(F.filter(cigar_segments(F.col("cigar")), lambda s: s["op"].isin("M", "D", "N", "=", "X")), lambda s: s["n"]), F.lit(0), lambda a, n: a + n)
+    r = r.withColumns({"segs": cigar_segments(F.col("cigar")), "marks": md_marks(F.coalesce("md", F.lit("")))})
+    span = F.aggregate(F.transform(F.filter(F.col("segs"), lambda s: s["op"].isin("M", "D", "N", "=", "X")), lambda s: s["n"]), F.lit(0), lambda a, n: a + n)
     when = lambda x: F.when(F.col("placed"), x)
     turned = F.reverse(F.translate(F.col("seq"), "ACGT", "TGCA"))
     return r.select(
         "name", F.when(F.col("minus"), turned).otherwise(F.col("seq")).alias("tag"), F.length("seq").alias("len"), when(F.col("chrom")).alias("chrom"), when(F.when(F.col("minus"), -1).otherwise(1)).alias("strand"), when(F.col("pos")).alias("pos"),
-        when(F.col("pos") + span - 1).alias("end"), "hits", "divergence", when(F.col("cigar")).alias("cigar"), "md", when(variants(F.col("pos"), F.col("cigar"), F.col("md"), F.col("seq"))).alias("variants"),
+        when(F.col("pos") + span - 1).alias("end"), "hits", "divergence", when(F.col("cigar")).alias("cigar"), "md", when(variants(F.col("pos"), F.col("segs"), F.col("marks"), F.col("seq"))).alias("variants"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from allelix.functions import encoding, stats
 from allelix.operators import association, donors, joins, pairs, traits, windows
-from allelix.sources import text
+from allelix.sources import alignments, text
 
 
 @pytest.fixture(scope="module")
@@ -133,3 +133,21 @@ def test_exact_test_leaves_out_what_is_zero(monkeypatch):
         p = {x: math.exp(ln(r, x) + ln(s, k - x) - ln(r + s, k)) for x in range(max(0, k - s), min(r, k) + 1)}
         want = sum(v for x, v in p.items() if x <= a), sum(v for x, v in p.items() if x >= a), sum(v for v in p.values() if v <= p[a] * (1 + 1e-9))
         assert got == pytest.approx([min(1.0, v) for v in want], rel=1e-6)
+
+
+def test_sequences_are_packed_without_steps_by_letter(spark):
+    seqs = ["ACGT" * 16, "T" * 31, "A" * 40, "C", "", "ACN", None]
+    df = spark.createDataFrame([(s,) for s in seqs], "s string").withColumn("w", encoding.packed_sequence("s")).withColumn("back", encoding.unpacked_sequence("w", F.length("s")))
+    assert "aggregate(" not in _plan(df)
+    word = lambda x: sum("ACGT".index(b) * 4 ** (len(x) - 1 - i) for i, b in enumerate(x))
+    for r in df.collect():
+        known = r["s"] and "N" not in r["s"]
+        assert r["w"] == ([word(r["s"][i : i + 31]) for i in range(0, len(r["s"]), 31)] if known else None) and r["back"] == (r["s"] if known else None)
+
+
+def test_fields_of_an_alignment_are_parsed_once(spark, tmp_path):
+    (tmp_path / "x.sam").write_text("\t".join(["r", "0", "chr1", "5", "60", "4M1I3M", "*", "0", "0", "ACGTACGT", "*", "MD:Z:2T4"]) + "\n")
+    df = alignments.read_sam(spark, str(tmp_path / "x.sam")).select("end", "variants")
+    assert _plan(df).count("regexp_extract_all") == 2
+    r = df.first()
+    assert r["end"] == 11 and [tuple(v) for v in r["variants"]] == [(7, "T", "G"), (8, "-", "A")]
