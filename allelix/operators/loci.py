@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialize, small
+
 #: Scores of the alignment within a locus: a match, a mismatch, a base that one of both lacks.
 MATCH, MISMATCH, LACKS = 2, -2, -5
 BASES = "ACGT"
@@ -108,12 +110,17 @@ def tag_loci(tag_map: DataFrame, counts: DataFrame, min_taxa: int = 1) -> DataFr
     """
     place = ["chrom", "strand", "pos"]
     m = tag_map.select("tag", *place).where("chrom IS NOT NULL AND pos IS NOT NULL AND strand IS NOT NULL")
-    c = counts.where("count > 0").join(m, "tag")
-    total = c.groupBy(*place, "tag").agg(F.sum("count").alias("n"))
-    centre = total.groupBy(*place).agg(F.count(F.lit(1)).alias("tags"), F.min(F.struct((-F.col("n")).alias("less"), "tag")).alias("first"))
-    taxa = c.groupBy(*place).agg(F.count_distinct("taxon").alias("taxa"))
-    kept = centre.where("tags > 1").join(taxa.where(F.col("taxa") >= min_taxa), place).select(*place, F.col("first.tag").alias("centre"))
-    return total.select(*place, "tag").join(kept, place)
+    c = counts.where("count > 0")
+    total = c.groupBy("tag").agg(F.sum("count").alias("n"), F.count("taxon").alias("known")).join(m, "tag")  # a row a tag from here on
+    total = materialize(total.groupBy(*place, "tag").agg(F.sum("n").alias("n"), F.sum("known").alias("known")), "locus-tags")
+    centre = total.groupBy(*place).agg(F.count(F.lit(1)).alias("tags"), F.min(F.struct((-F.col("n")).alias("less"), "tag")).alias("first"), F.sum("known").alias("known")).where("tags > 1")
+    if min_taxa <= 1:
+        kept = centre.where(F.col("known") >= min_taxa)
+    else:
+        own = small(total.select("tag", *place), 100)
+        taxa = c.where("taxon IS NOT NULL").join(own, "tag").select(*place, "taxon").distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("taxa"))
+        kept = centre.join(taxa.where(F.col("taxa") >= min_taxa), place)
+    return total.select(*place, "tag").join(kept.select(*place, F.col("first.tag").alias("centre")), place)
 
 
 def aligned_bases(loci: DataFrame) -> DataFrame:
@@ -154,8 +161,13 @@ def site_depths(sites: DataFrame, counts: DataFrame) -> DataFrame:
     minus = F.col("strand") == -1
     code = F.when(F.col("base") == "-", F.lit(GAP)).otherwise(F.instr(F.when(minus, F.lit("TGCA")).otherwise(F.lit(BASES)), F.col("base")) - 1)
     at = F.when(minus, F.col("pos") - F.col("col")).otherwise(F.col("pos") + F.col("col"))
+    key = ["chrom", "strand", "pos", "site_pos", "ins"]
     s = sites.select("chrom", "strand", "pos", at.alias("site_pos"), "ins", "tag", code.alias("code"))
-    g = s.join(counts.where("count > 0"), "tag").groupBy("chrom", "strand", "pos", "site_pos", "ins", "taxon")
+    s = materialize(s.groupBy("tag").agg(F.collect_list(F.struct(*key, "code")).alias("at")), "tag-sites")
+    size = s.agg(F.count(F.lit(1)), F.coalesce(F.sum(100 + 40 * F.size("at")), F.lit(0))).first()
+    # Counts are dealt by taxon once; the sites of a few tags are broadcast, so that neither the join nor the sums deal the bases.
+    c = counts.where("count > 0").repartition("taxon").join(small(s, -(-size[1] // max(1, size[0])), size[0]), "tag")
+    g = c.select(F.explode("at").alias("x"), "taxon", "count").select("x.*", "taxon", "count").groupBy(*key, "taxon")
     return g.agg(F.array(*[F.sum(F.when(F.col("code") == i, F.col("count")).otherwise(0)).cast("int") for i in range(6)]).alias("depth"))
 
 
@@ -170,9 +182,10 @@ def discover(tag_map: DataFrame, counts: DataFrame, min_taxa: int = 1, min_maf:
     key = ["chrom", "strand", "pos", "site_pos", "ins"]
     d = site_depths(locus_sites(aligned_bases(tag_loci(tag_map, counts, min_taxa)), with_gaps), counts)
     c = call_by_depth(d.select(F.struct(*key).alias("site_id"), F.col("taxon").alias("taxon_id"), "depth")).select("site_id.*", F.col("taxon_id").alias("taxon"), "a1", "a2")
+    c = materialize(c, "locus-calls")  # read for the alleles and for the result
     n = c.where("a1 < 14").select(*key, F.explode(F.array("a1", "a2")).alias("allele")).groupBy(*key, "allele").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(*key).orderBy(F.desc("n"), "allele")
     r = n.withColumns({"rank": F.row_number().over(order), "total": F.sum("n").over(Window.partitionBy(*key))})
     s = r.groupBy(*key).agg(F.max(F.when(F.col("rank") == 1, F.col("allele"))).alias("major"), F.max(F.when(F.col("rank") == 2, F.col("allele"))).alias("minor"), F.max(F.when(F.col("rank") == 2, F.col("n"))).alias("mac"), F.max("total").alias("total"))
     s = s.where("minor IS NOT NULL").withColumn("maf", F.col("mac") / F.col("total")).where((F.col("maf") >= min_maf) | (F.col("mac") >= min_mac))
-    return c.join(s.drop("total"), key)
+    return c.join(small(s.drop("total"), 60), key)

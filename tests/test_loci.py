@@ -151,3 +151,17 @@ def test_sam_variants_by_place(spark, tmp_path):
         assert (r.strand, r.pos, r.end, r.chrom, r.hits, r.divergence) == (strand, pos, end, "chr7", 3, 2)
         assert sorted(tuple(v) for v in r.variants) == want, name
         assert r.tag == (seq if strand == 1 else seq[::-1].translate(str.maketrans("ACGT", "TGCA")))
+
+
+def test_counts_are_dealt_once_and_bases_never(spark):
+    """Above the join of counts and sites there is no exchange; a tag at two places counts at either, and taxa that are null don't count."""
+    rows = [("AA", "AC", 1), ("GA", "GC", 2)]
+    tags = spark.createDataFrame([(t, 1, 1, 100 * p) for a, b, p in rows for t in (a, b)] + [("AA", 1, 1, 200)], "tag string, chrom int, strand int, pos int")
+    counts = spark.createDataFrame([("AA", 1, 2), ("AC", 1, 3), ("AC", 2, 4), ("GA", None, 9), ("GC", None, 9)], "tag string, taxon int, count int")
+    kept = loci.tag_loci(tags, counts, 2)
+    assert {(r.pos, r.tag, r.centre) for r in kept.collect()} == {(100, "AA", "AC"), (100, "AC", "AC")}
+    assert {r.pos for r in loci.tag_loci(tags, counts).collect()} == {100, 200}
+    told = loci.site_depths(loci.locus_sites(loci.aligned_bases(kept)), counts)
+    assert {(r.site_pos, r.taxon): r.depth for r in told.collect()} == {(101, 1): [2, 3, 0, 0, 0, 0], (101, 2): [0, 4, 0, 0, 0, 0]}
+    plan = told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
