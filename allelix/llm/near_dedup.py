@@ -6,11 +6,13 @@ them in text order; the resulting tuple is a bucket key, so buckets hold texts t
 copies are one class first. In each bucket every class is paired with the smallest one; pairs are made distinct, and each is
 verified by a banded alignment of the words: texts link if 1 - distance / longer length is at least the similarity (0.8),
 the distance being insertions, deletions and changes of words. Classes that failed with their bucket's
-leader are dealt again to the smallest of themselves, as long as a quarter of such pairs links. Then each class that failed
-with the first leader meets all other members of its bucket outside its component; pairs whose lengths or bags of words
-already differ too much for a link are left out, the others are aligned. So any two similar texts that share a bucket end in
-one group. Components of the links are the groups; the row with the smallest doc_id stays. The last step compares the failed
-classes of a bucket with its members, which is quadratic in a bucket of dissimilar texts; its blocks, not its pairs, are rows.
+leader are dealt again to the smallest of themselves, as long as a quarter of such pairs links. Then the classes that failed
+with the first leader are joined to all texts of such buckets outside their component, whatever bucket they share, by a rare
+word: similar texts have one of the rarest words of either in common, so that a passage or line that many texts share makes no
+pair. Pairs that lengths and places of such words leave are aligned, first one for each class and component, then the others
+of the components that it failed with. So any two similar texts that share a bucket end in one group. Components of the links
+are the groups; the row with the smallest doc_id stays. The last step is quadratic in texts that have the same rarest words and are alike in
+length but not similar; blocks of them, not pairs, are rows.
 
 Where a share e of the words changed at random places, a k-mer stays with (1 - e) ** 5 and the share J of common k-mers among
 all is that over two less it; a pair shares a bucket but for (1 - J ** 2) ** 72. That is 0.06 at an edit similarity of 0.8 and
@@ -41,7 +43,10 @@ BASE = np.uint64(0x5851F42D4C957F2D)
 UNBASE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))  # BASE * UNBASE is 1 in 64 bits
 _powers, _inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
 MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
-BINS, PAIR_BINS = 256, 512
+#: Labelled words are counted in PARTS * LEVELS bins to tell rare ones from frequent ones.
+PARTS, LEVELS = 64, 1 << 14
+#: A row of a rare word carries so many of those before it, by which most pairs that met there are left out.
+BEFORE = 4
 #: Texts of up to this many words have keys of k-mers of two words too.
 SHORT = 48
 #: Texts of up to this many words are aligned with many others at once.
@@ -205,6 +210,34 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return bool(x and y) and banded_distance(x, y, band) <= band
 
 
+def similar_to(one: str, many: list[str], similarity: float) -> list[bool]:
+    """Whether one is similar to each of many; those that could be are aligned at once if they are many and not long."""
+    x = one.split()
+    if len(many) < TOGETHER or not x or len(x) > TABLED:
+        return [similar(one, other, similarity) for other in many]
+    own, known = Counter(x), {}
+    number = lambda ws: [known.setdefault(w, len(known)) for w in ws]
+    one_ids, out, some = np.array(number(x), np.int32), [False] * len(many), []
+    for i, other in enumerate(many):
+        y = other.split()
+        longer = max(len(x), len(y))
+        band = int(longer * (1 - similarity) + 1e-9)
+        if y and longer - min(len(x), len(y)) <= band and longer - (own & Counter(y)).total() <= band:
+            some.append((i, y, band))
+    for lo in range(0, len(some), 256):
+        part = some[lo : lo + 256]
+        if len(part) < TOGETHER:
+            for i, y, band in part:
+                out[i] = banded_distance(x, y, band) <= band
+            continue
+        ids, lengths, bands = np.full((len(part), max(len(y) for _, y, _ in part)), -1, np.int32), np.array([len(y) for _, y, _ in part]), [b for *_, b in part]
+        for r, (_, y, _) in enumerate(part):
+            ids[r, : len(y)] = number(y)
+        for (i, *_), near in zip(part, distances_to(one_ids, ids, lengths, max(bands)) <= bands, strict=True):
+            out[i] = bool(near)
+    return out
+
+
 def keys_of(words: list[str], k: int, sketches: int, picks: int, short: int = SHORT, short_sketches: int = 24) -> np.ndarray:
     """The bucket keys of a text. Up to `short` words it also has keys of k-mers of two words, of which more stay when a word changes.
 
@@ -241,95 +274,165 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("u", "v", same("a", "b").alias("same"))
 
 
+def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float, block: int = 128) -> DataFrame:
+    """As _verified, for pairs in dense groups: dealt in tiles of texts that have the same smallest partner, to which each text goes once."""
+    of = pairs.groupBy("u").agg(F.min("v").alias("k"), F.count(F.lit(1)).alias("n"))
+    sizes = of.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / block).alias("ni"), F.ceil(F.max("n") / block).alias("nj"))
+    of = materialize(of.drop("n").join(sizes, "k"), "tiles")
+    deal = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    dealt = materialize(pairs.join(small(of, 40), "u").select("u", "v", F.xxhash64("k", deal("u", "ni"), deal("v", "nj")).alias("tile")), "tiled")
+    needed = dealt.select(F.col("tile").alias("of"), F.col("u").alias("rep")).union(dealt.select("tile", "v")).distinct().join(texts.select("rep", "text"), "rep")
+
+    def align(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        text = dict(zip(texts["rep"], texts["text"], strict=True))
+        pairs = pairs.sort_values(["u", "v"], ignore_index=True)
+        same = [x for u, vs in pairs.groupby("u")["v"] for x in similar_to(text[u], [text[v] for v in vs], similarity)]
+        return pd.DataFrame({"u": pairs["u"], "v": pairs["v"], "same": np.array(same, bool)})
+
+    return dealt.groupBy("tile").cogroup(needed.groupBy("of")).applyInPandas(align, "u long, v long, same boolean")
+
+
 def _candidates(keyed: DataFrame) -> DataFrame:
     """Of keyed (key, rep): every member with the bucket's smallest one."""
     lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
     return keyed.join(lead, "key").where("rep <> lead")
 
 
-def bag(words: list[str]) -> bytes:
-    """How many words fall in each of BINS bins, and then how many pairs of neighbours in each of PAIR_BINS, 255 at most.
+def _levels(texts: DataFrame) -> np.ndarray:
+    """How often the labelled words of texts occur, as an eighth of a power of two, of each of PARTS * LEVELS bins of them: a bounded table, whatever the vocabulary."""
 
-    No two texts' bags of words differ more than the texts do, and bags of pairs by twice as much, as an edit touches two pairs.
-    """
-    h = word_hashes(words)
-    bins = lambda x, n: np.minimum(np.bincount((x % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8)
-    return bins(h, BINS).tobytes() + bins(_mix(h[:-1] * PRIME + h[1:]), PAIR_BINS).tobytes()
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(PARTS * LEVELS, np.int64)
+        for b in batches:
+            for t in b["text"]:
+                np.add.at(n, _bin(labelled_kmers(t.split(), 1, 0)), 1)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"part": at // LEVELS, "at": at % LEVELS, "n": n[at]})
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        level = np.zeros(LEVELS, np.uint8)
+        level[rows["at"]] = np.minimum(8 * np.log2(rows["n"]) + 1, 255)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "level": [level.tobytes()]})
+
+    sums = texts.select("text").mapInPandas(counted, "part int, at int, n long").groupBy("part", "at").agg(F.sum("n").alias("n"))
+    parts = materialize(sums.groupBy("part").applyInPandas(packed, "part int, level binary"), "levels")
+    levels = np.zeros((PARTS, LEVELS), np.uint8)
+    for r in parts.collect():  # PARTS rows of LEVELS bytes at most
+        levels[r.part] = np.frombuffer(r.level, np.uint8)
+    return levels.ravel()
 
 
-def _rest(strays: DataFrame, keyed: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, strays_block: int = 1024, block: int = 1024) -> DataFrame:
-    """u < v: links between the strays (key, rep) and the members of their buckets, but those in the same component.
+def _bin(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(PARTS * LEVELS)).astype(np.int64)
 
-    Buckets with the same leader are taken together, since texts that meet in one of them mostly meet in several.
-    Strays and members are dealt in blocks; a group is a block of either, so that pairs aren't rows. Within it, pairs whose
-    lengths or bags of words or of pairs of words differ by more than the similarity allows can't link; the others are aligned.
+
+def rare_words(words: list[str], levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest labelled words of a text, by level and then by hash, one more than it may lose: two similar texts share one of them at least."""
+    h = labelled_kmers(words, 1, 0)
+    return h[np.lexsort((h, levels[_bin(h)]))][: int(len(words) * (1 - similarity) + 1e-9) + 1].view(np.int64)
+
+
+def _close(a: pd.DataFrame, b: pd.DataFrame, similarity: float, first: bool, at_once: int = 1 << 20) -> pd.DataFrame:
+    """u, c, v, more: for the strays a and members b of equal tokens, those of different components that lengths and places of the token let be similar.
+
+    Pairs that share one of the words just before the token in their order are left to that word.
+
+    first: only the smallest v of each component c, and more tells that there are others.
     """
-    lead = small(materialize(keyed.groupBy("key").agg(F.min("rep").alias("lead")), "leaders"), 24)
-    strays = materialize(strays.join(lead, "key").select(F.col("lead").alias("key"), "rep").distinct(), "strays-by-leader")
-    keyed = materialize(keyed.join(lead, "key").select(F.col("lead").alias("key"), "rep").distinct(), "members-by-leader")
+    b = b.sort_values("token", kind="stable")
+    token, *member = (b[n].to_numpy() for n in ("token", "rep", "c", "words", "at"))
+    before = [f"before{k}" for k in range(BEFORE)]
+    stray_before, member_before = a[before].to_numpy(), b[before].to_numpy()
+    stray = [a[n].to_numpy() for n in ("rep", "c", "words", "at")]
+    lo, hi = np.searchsorted(token, a["token"]), np.searchsorted(token, a["token"], "right")
+    ends, parts, start = np.cumsum(hi - lo), [], 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, "right")))
+        n = (hi - lo)[start:stop]
+        x = np.repeat(np.arange(start, stop), n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[start:stop], n)
+        apart = np.flatnonzero(stray[1][x] != member[1][y])
+        x, y = x[apart], y[apart]
+        longer = np.maximum(stray[2][x], member[2][y])
+        band = (longer * (1 - similarity) + 1e-9).astype(np.int64)
+        # Words before the first that both share aren't shared; at later ones too little is asked, never too much of the first.
+        near = np.minimum(stray[2][x] - stray[3][x], member[2][y] - member[3][y]) >= longer - band
+        x, y = x[near], y[near]
+        met = np.zeros(len(x), bool)
+        for k in range(BEFORE):
+            one = stray_before[x, k]
+            met |= ((member_before[y] == one[:, None]).any(axis=1)) & (one != token[y])  # the token itself stands for none
+        x, y = x[~met], y[~met]
+        parts.append(pd.DataFrame({"u": stray[0][x], "c": member[1][y], "v": member[0][y]}).drop_duplicates())
+        start = stop
+    out = pd.concat(parts, ignore_index=True).drop_duplicates() if parts else pd.DataFrame({"u": [], "c": [], "v": []}, dtype="int64")
+    if first:
+        out = out.groupby(["u", "c"], as_index=False).agg(v=("v", "min"), n=("v", "size"))
+        return out.assign(more=out.pop("n") > 1)
+    return out.assign(more=False)
+
+
+def _near(tokens: DataFrame, strays: DataFrame, similarity: float, first: bool, block: int = 2048) -> DataFrame:
+    """u, c, v, more (see _close) of rare words (rep, c, words, tokens) and strays (rep), a row each for u, c and, unless first, v.
+
+    Tokens of few rows share a task; rows of others are dealt in blocks, and a task takes a block of either side. Tokens of one
+    component, or without a stray, have nothing to tell.
+    """
+    before = [F.coalesce(F.get("tokens", F.col("at") - k - 1), F.col("token")).alias(f"before{k}") for k in range(BEFORE)]
+    tokens = tokens.join(small(strays.withColumn("stray", F.lit(True)), 16), "rep", "left").withColumn("stray", F.coalesce("stray", F.lit(False)))
+    tokens = tokens.select("*", F.posexplode("tokens").alias("at", "token")).select("token", "at", "rep", "c", "words", "stray", *before)
+    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.count_if("stray").alias("s"), F.min("c").alias("low"), F.max("c").alias("high")).where("s > 0 and low < high")
+    sizes = materialize(sizes.select("token", F.ceil(F.col("s") / block).cast("int").alias("s"), F.ceil(F.col("m") / block).cast("int").alias("m"), F.col("m").alias("rows")), "token-blocks")
+    total, number = sizes.agg(F.sum("rows"), F.count(F.lit(1))).first()
+    bundles = max(1, (total or 0) // block)
+    rows = tokens.join(small(sizes.drop("rows"), 24, number), "token")
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    sides = F.array(
+        F.struct(F.lit(False).alias("left"), every("s").alias("i"), F.array(dealt("m")).alias("j")),
+        F.struct(F.lit(True).alias("left"), F.array(dealt("s")).alias("i"), every("m").alias("j")),
+    )
+    sides = F.when(F.col("stray"), sides).otherwise(F.slice(sides, 1, 1))
+    rows = rows.withColumn("side", F.explode(sides)).withColumn("i", F.explode("side.i")).withColumn("j", F.explode("side.j")).withColumn("left", F.col("side.left")).drop("side", "stray", "s", "m")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bundles)))
+
+    def close(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [_close(g[g["left"]], g[~g["left"]], similarity, first) for _, g in rows.groupby(["i", "j"])]
+        return pd.concat(out, ignore_index=True).astype({"u": "int64", "c": "int64", "v": "int64", "more": "bool"})
+
+    found = rows.groupBy("g").applyInPandas(close, "u long, c long, v long, more boolean")
+    if not first:
+        return found.distinct()
+    return found.groupBy("u", "c").agg(F.min("v").alias("v"), (F.max("more") | (F.min("v") < F.max("v"))).alias("more"))
+
+
+def _rest(strays: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links of the strays (rep) with other texts (rep, text), of other components, one for each stray and component that has any.
+
+    Two texts that are similar share as many labelled words as the longer has, less the band, so they share one of the rarest
+    of either, one more than the band; under it they meet, in any order of all words. A stray is first aligned with one such
+    member of each component, and with all others of the components that it failed with.
+    """
+    levels = texts.sparkSession.sparkContext.broadcast(_levels(texts))
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [t.split() for t in b["text"]]
-            yield pd.DataFrame({"rep": b["rep"], "text": b["text"], "words": [len(w) for w in words], "bag": [bag(w) for w in words]})
-
-    of = texts.mapInPandas(bags, "rep long, text string, words long, bag binary").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    of = materialize(of.select("rep", "text", "words", "bag", F.coalesce("component", "rep").alias("c")), "bags")
-    longest = of.agg(F.sum(F.octet_length("text") + BINS + PAIR_BINS + 60), F.count(F.lit(1))).first()
-    of = small(of, -(-(longest[0] or 0) // max(1, longest[1])), longest[1])
-    sizes = strays.groupBy("key").agg(F.count(F.lit(1)).alias("s")).join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
-    few = F.col("m") <= 32  # many buckets of a few rows are one group; it runs through them one by one
-    sizes = sizes.select("key", F.ceil(F.col("s") / strays_block).cast("int").alias("s"), F.ceil(F.col("m") / block).cast("int").alias("m"), few.alias("few"), F.col("m").alias("rows"))
-    sizes = materialize(sizes, "blocks")
-    bundles = max(1, (sizes.where("few").agg(F.sum("rows")).first()[0] or 0) // block)
-    sized = small(sizes.drop("rows"), 24)
-    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = strays.join(sized, "key").select("key", "few", "rep", dealt("s").alias("i"), every("m").alias("j"), F.lit(True).alias("stray"))
-    right = keyed.join(sized, "key").select("key", "few", "rep", every("s").alias("i"), dealt("m").alias("j"), F.lit(False).alias("stray"))
-
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        out = set()
-        for _, g in rows.groupby("key", sort=False):
-            a, b = g[g["stray"]], g[~g["stray"]]
-            table = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), BINS + PAIR_BINS)
-            reps, words, c, others = (b[n].to_numpy() for n in ("rep", "words", "c", "text"))
-            split: dict[int, list[str]] = {}
-            known: dict[str, int] = {}
-            number = lambda ws: [known.setdefault(w, len(known)) for w in ws]  # noqa: E731, B023
-            numbers: dict[int, np.ndarray] = {}
-            for rep, n, own, comp, text in zip(a["rep"], a["words"], a["bag"], a["c"], a["text"], strict=True):
-                band = (np.maximum(words, n) * (1 - similarity) + 1e-9).astype(np.int64)
-                at = np.flatnonzero((c != comp) & (reps != rep) & (np.abs(words - n) <= band))
-                own = np.frombuffer(own, np.uint8).astype(np.int16)
-                for half, most in ((slice(0, BINS), 1), (slice(BINS, BINS + PAIR_BINS), 2)):
-                    d = table[at, half] - own[half]
-                    more, less = np.maximum(d, 0).sum(axis=1), np.maximum(-d, 0).sum(axis=1)
-                    at = at[np.maximum(more, less) <= most * band[at]]
-                if len(at):
-                    mine = text.split()
-                    short = at[words[at] <= TABLED] if n <= TABLED else at[:0]
-                    if len(short) >= TOGETHER:  # aligned with many others at once
-                        own_ids = np.array(number(mine), np.int32)
-                        for lo in range(0, len(short), 256):
-                            some = short[lo : lo + 256]
-                            ids = np.full((len(some), int(words[some].max())), -1, np.int32)
-                            for r, i in enumerate(some):
-                                if i not in numbers:
-                                    numbers[i] = np.array(number(others[i].split()), np.int32)
-                                ids[r, : words[i]] = numbers[i]
-                            d = distances_to(own_ids, ids, words[some], int(band[some].max()))
-                            out.update((min(rep, reps[i]), max(rep, reps[i])) for i in some[d <= band[some]])
-                        at = at[words[at] > TABLED]
-                    for i in at:
-                        if i not in split:
-                            split[i] = others[i].split()
-                        if banded_distance(mine, split[i], int(band[i])) <= band[i]:
-                            out.add((min(rep, reps[i]), max(rep, reps[i])))
-        return pd.DataFrame(sorted(out), columns=["u", "v"]).astype("int64")
-
-    both = left.union(right).withColumn("g", F.when(F.col("few"), F.pmod(F.xxhash64("key"), F.lit(bundles))).otherwise(F.col("key")))
-    return both.join(of, "rep").groupBy("g", "few", "i", "j").applyInPandas(near, "u long, v long").distinct()
+            yield pd.DataFrame({"rep": b["rep"], "words": [len(w) for w in words], "tokens": [rare_words(w, levels.value, similarity) for w in words]})
+
+    rows = texts.mapInPandas(rare, "rep long, words int, tokens array<long>").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    tokens = materialize(rows.select("rep", "words", F.coalesce("component", "rep").alias("c"), "tokens"), "rare-words")
+    met = materialize(_near(tokens, strays, similarity, True), "nearest")
+    both = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    told = materialize(_aligned(both(met), texts, similarity), "alignments-nearest")
+    edges, failed = told.where("same").select("u", "v"), told.where(~F.col("same"))
+    missed = met.where("more").withColumns({"low": F.least("u", "v"), "high": F.greatest("u", "v")}).join(failed.select(F.col("u").alias("low"), F.col("v").alias("high")), ["low", "high"])
+    missed = materialize(missed.select("u", "c"), "missed")
+    if missed.isEmpty():
+        return edges
+    others = _near(tokens, materialize(missed.select(F.col("u").alias("rep")).distinct(), "missed-strays"), similarity, False)
+    others = materialize(both(others.join(small(missed, 24), ["u", "c"], "leftsemi")).join(small(told.select("u", "v"), 24), ["u", "v"], "leftanti"), "others")
+    return edges.union(materialize(_aligned(others, texts, similarity), "alignments-others").where("same").select("u", "v"))
 
 
 def _links(keyed: DataFrame, texts_of, similarity: float) -> DataFrame:
@@ -353,10 +456,9 @@ def _links(keyed: DataFrame, texts_of, similarity: float) -> DataFrame:
     # Two members that both linked with their bucket's leader are connected; every other pair has a member that failed with it.
     nodes = materialize(components(edges), "connected")
     hit = materialize(strays.select("key").distinct(), "stray-buckets")
-    keyed = materialize(keyed.join(small(hit, 16), "key", "leftsemi"), "stray-members")
-    texts = texts_of(keyed.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
-    more = materialize(_rest(strays, keyed, texts, nodes, similarity), "links-rest")
-    return edges.union(more)
+    members = materialize(keyed.join(small(hit, 16), "key", "leftsemi").select("rep").distinct(), "stray-members")
+    texts = texts_of(members.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
+    return edges.union(_rest(materialize(strays.select("rep").distinct(), "strays"), texts, nodes, similarity))
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 72, picks: int = 2, row_col: str | None = None) -> DataFrame:
