@@ -5,14 +5,15 @@ often it occurred before in the text. Each of `sketches` hash functions picks th
 them in text order; the resulting tuple is a bucket key, so buckets hold texts that share k-mers in the same order. Exact
 copies are one class first. In each bucket every class is paired with the smallest one; pairs are made distinct, and each is
 verified by a banded alignment of the words: texts link if 1 - distance / longer length is at least the similarity (0.8),
-the distance being insertions, deletions and changes of words. Classes that failed with their bucket's
+the distance being insertions, deletions and changes of words. A bag of the words in few bits (word_bag) tells of most
+pairs that they can't be similar, so that their texts aren't read. Classes that failed with their bucket's
 leader are dealt again to the smallest of themselves, as long as a quarter of such pairs links. Then the classes that failed
-with the first leader are joined to all texts of such buckets outside their component, whatever bucket they share, by a rare
-word: similar texts have one of the rarest words of either in common, so that a passage or line that many texts share makes no
-pair. Pairs that lengths and places of such words leave are aligned, first one for each class and component, then the others
+with the first leader are compared with all texts of their buckets outside their component, by lengths and bags, in blocks of rows. Pairs
+that these leave are aligned, first one for each class and component, then the others
 of the components that it failed with. So any two similar texts that share a bucket end in one group. Components of the links
-are the groups; the row with the smallest doc_id stays. The last step is quadratic in texts that have the same rarest words and are alike in
-length but not similar; blocks of them, not pairs, are rows.
+are the groups; the row with the smallest doc_id stays. The last step is quadratic in texts of a bucket that
+aren't similar, at a few bytes a pair; blocks of them, and pairs with nearly the same words, are rows. Texts without buckets can be joined by their
+rarest words instead (_rest).
 
 Where a share e of the words changed at random places, a k-mer stays with (1 - e) ** 5 and the share J of common k-mers among
 all is that over two less it; a pair shares a bucket but for (1 - J ** 2) ** 72. That is 0.06 at an edit similarity of 0.8 and
@@ -53,6 +54,8 @@ SHORT = 48
 TABLED = 2048
 #: From so many on that is faster than one by one.
 TOGETHER = 64
+#: Bags have at least and at most so many bins.
+LEAST_BINS, MOST_BINS = 1 << 8, 1 << 14
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -73,10 +76,10 @@ def word_hashes(words: list[str], at_once: int = 1 << 17) -> np.ndarray:
     return np.concatenate(out)
 
 
-def labelled_kmers(words: list[str], k: int, pad: int = 2) -> np.ndarray:
-    """64-bit hashes of the k-mers with their occurrence numbers, in text order; pad empty words stand before and after the text."""
+def labelled_kmers(words: list[str], k: int, pad: int = 2, hashes: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the k-mers with their occurrence numbers, in text order; pad empty words stand before and after the text. hashes: those of the words, if they are made already."""
     w = np.full(len(words) + 2 * pad, 1 << 32, np.uint64)
-    w[pad : pad + len(words)] = word_hashes(words)
+    w[pad : pad + len(words)] = word_hashes(words) if hashes is None else hashes
     k = min(k, len(w))
     h = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
@@ -110,6 +113,59 @@ def order_minhash(h: np.ndarray, sketches: int, picks: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def word_bag(hashes: np.ndarray) -> bytes:
+    """Of a text's word hashes, a bit for each of some bins, two or more a word: whether an odd number of the labelled words lies there.
+
+    Bags of two texts differ in as many bins at most as there are labelled words that only one text has, so in 2 * band less the
+    difference of their lengths if they are similar. The halves of a bag, one upon the other, are the bag of half as many bins.
+    """
+    bins = min(max(1 << (2 * len(hashes) - 1).bit_length(), LEAST_BINS), MOST_BINS)
+    s, at = np.sort(hashes), np.arange(len(hashes))
+    nth = at - np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], at, 0))
+    n = np.bincount((_mix(s + nth.astype(np.uint64) * PRIME) % np.uint64(bins)).astype(np.int64), minlength=bins)
+    return np.packbits(n & 1 == 1).tobytes()
+
+
+def _folded(bags: np.ndarray, wide: int) -> np.ndarray:
+    while bags.shape[1] > wide:
+        half = bags.shape[1] // 2
+        bags = bags[:, :half] ^ bags[:, half:]
+    return bags
+
+
+class _Bags:
+    """Lengths and bags of some texts, to compare many pairs of them at once."""
+
+    def __init__(self, words: pd.Series, bags: pd.Series):
+        self.words = words.to_numpy(np.int64)
+        self.wide = np.array([len(b) // 8 for b in bags], np.int64)
+        self.at, self.of, self.least = np.zeros(len(bags), np.int64), {}, np.zeros((len(bags), LEAST_BINS // 64), np.uint64)
+        bags = bags.to_numpy()
+        for wide in np.unique(self.wide).tolist():
+            rows = np.flatnonzero(self.wide == wide)
+            self.at[rows] = np.arange(len(rows))
+            self.of[wide] = np.frombuffer(b"".join(bags[rows]), np.uint64).reshape(len(rows), wide)
+            self.least[rows] = _folded(self.of[wide], self.least.shape[1])
+
+
+def alike(a: _Bags, x: np.ndarray, b: _Bags, y: np.ndarray, similarity: float, at_once: int = 1 << 12) -> np.ndarray:
+    """Which of the pairs of the rows x of a and y of b, by their place, lengths and bags let be similar."""
+    apart = np.abs(a.words[x] - b.words[y])
+    band = (np.maximum(a.words[x], b.words[y]) * (1 - similarity) + 1e-9).astype(np.int64)
+    most = 2 * band - apart
+    left = np.flatnonzero(apart <= band)
+    left = left[np.bitwise_count(a.least[x[left]] ^ b.least[y[left]]).sum(axis=1, dtype=np.int64) <= most[left]]
+    parts = [left[:0]]
+    for p in a.of:
+        for q in b.of:
+            here = left[(a.wide[x[left]] == p) & (b.wide[y[left]] == q)]
+            for lo in range(0, len(here), at_once):
+                some, wide = here[lo : lo + at_once], min(p, q)
+                differ = _folded(a.of[p][a.at[x[some]]], wide) ^ _folded(b.of[q][b.at[y[some]]], wide)
+                parts.append(some[np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most[some]])
+    return np.sort(np.concatenate(parts))
+
+
 def banded_distance(a: list[str], b: list[str], band: int) -> int:
     """Edit distance in words if it is at most band, else band + 1.
 
@@ -238,31 +294,34 @@ def similar_to(one: str, many: list[str], similarity: float) -> list[bool]:
     return out
 
 
-def keys_of(words: list[str], k: int, sketches: int, picks: int, short: int = SHORT, short_sketches: int = 24) -> np.ndarray:
+def keys_of(words: list[str], k: int, sketches: int, picks: int, short: int = SHORT, short_sketches: int = 24, hashes: np.ndarray | None = None) -> np.ndarray:
     """The bucket keys of a text. Up to `short` words it also has keys of k-mers of two words, of which more stay when a word changes.
 
     A text under four fifths of `short` has no similar text over it, so a third of its keys of longer k-mers is enough.
     """
     if len(words) > short:
-        return order_minhash(labelled_kmers(words, k), sketches, picks)
-    keys = order_minhash(labelled_kmers(words, k), sketches if 5 * len(words) >= 4 * short else -(-sketches // 3), picks)
-    return np.concatenate([keys, order_minhash(labelled_kmers(words, 2, 1), short_sketches, picks)])
+        return order_minhash(labelled_kmers(words, k, 2, hashes), sketches, picks)
+    keys = order_minhash(labelled_kmers(words, k, 2, hashes), sketches if 5 * len(words) >= 4 * short else -(-sketches // 3), picks)
+    return np.concatenate([keys, order_minhash(labelled_kmers(words, 2, 1, hashes), short_sketches, picks)])
 
 
 def sketched(docs: DataFrame, k: int, sketches: int, picks: int, row_col: str | None = None) -> DataFrame:
-    """row, doc_id, digest, keys of every text; those without words have no keys. Rows are told by row_col or by numbers given here."""
+    """row, doc_id, digest, keys, words (their number), bag of every text; those without words have no keys. Rows are told by row_col or by numbers given here."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = []
+            keys, words, bags = [], [], []
             for t in b["text"]:
                 w = t.split()
-                keys.append(keys_of(w, k, sketches, picks) if w else [])
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "keys": keys})
+                h = word_hashes(w)
+                keys.append(keys_of(w, k, sketches, picks, hashes=h) if w else [])
+                words.append(len(w))
+                bags.append(word_bag(h) if w else b"")
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "digest": b["digest"], "keys": keys, "words": words, "bag": bags})
 
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
     rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("digest", F.sha2("text", 256)).mapInPandas(sketch, "row long, doc_id long, digest string, keys array<long>")
+    return rows.withColumn("digest", F.sha2("text", 256)).mapInPandas(sketch, "row long, doc_id long, digest string, keys array<long>, words int, bag binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -274,6 +333,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("u", "v", same("a", "b").alias("same"))
 
 
+def _alike(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """u, v, alike of the pairs (u, v): whether lengths and bags (rep, words, bag) let them be similar."""
+
+    @F.pandas_udf("boolean")
+    def told(n: pd.Series, a: pd.Series, m: pd.Series, b: pd.Series) -> pd.Series:
+        out, at = np.zeros(len(n), bool), np.arange(len(n))
+        out[alike(_Bags(n, a), at, _Bags(m, b), at, similarity)] = True
+        return pd.Series(out)
+
+    of = lambda node, n, bag: bags.select(F.col("rep").alias(node), F.col("words").alias(n), F.col("bag").alias(bag))
+    return pairs.join(of("u", "n", "a"), "u").join(of("v", "m", "b"), "v").select("u", "v", told("n", "a", "m", "b").alias("alike"))
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float, block: int = 128) -> DataFrame:
     """As _verified, for pairs in dense groups: dealt in tiles of texts that have the same smallest partner, to which each text goes once."""
     of = pairs.groupBy("u").agg(F.min("v").alias("k"), F.count(F.lit(1)).alias("n"))
@@ -333,17 +405,21 @@ def rare_words(words: list[str], levels: np.ndarray, similarity: float) -> np.nd
 
 
 def _close(a: pd.DataFrame, b: pd.DataFrame, similarity: float, first: bool, at_once: int = 1 << 20) -> pd.DataFrame:
-    """u, c, v, more: for the strays a and members b of equal tokens, those of different components that lengths and places of the token let be similar.
+    """u, c, v, more: for the strays a and members b of equal tokens, those of different components that lengths and bags, or places of the token, let be similar.
 
-    Pairs that share one of the words just before the token in their order are left to that word.
+    Without bags, pairs that share one of the words just before the token in their order are left to that word.
 
     first: only the smallest v of each component c, and more tells that there are others.
     """
     b = b.sort_values("token", kind="stable")
-    token, *member = (b[n].to_numpy() for n in ("token", "rep", "c", "words", "at"))
-    before = [f"before{k}" for k in range(BEFORE)]
-    stray_before, member_before = a[before].to_numpy(), b[before].to_numpy()
-    stray = [a[n].to_numpy() for n in ("rep", "c", "words", "at")]
+    told = ["rep", "c"] if "bag" in a else ["rep", "c", "words", "at"]
+    token, *member = (b[n].to_numpy() for n in ("token", *told))
+    stray = [a[n].to_numpy() for n in told]
+    if "bag" in a:
+        stray_bags, member_bags = _Bags(a["words"], a["bag"]), _Bags(b["words"], b["bag"])
+    else:
+        before = [f"before{k}" for k in range(BEFORE)]
+        stray_before, member_before = a[before].to_numpy(), b[before].to_numpy()
     lo, hi = np.searchsorted(token, a["token"]), np.searchsorted(token, a["token"], "right")
     ends, parts, start = np.cumsum(hi - lo), [], 0
     while start < len(a):
@@ -353,16 +429,20 @@ def _close(a: pd.DataFrame, b: pd.DataFrame, similarity: float, first: bool, at_
         y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[start:stop], n)
         apart = np.flatnonzero(stray[1][x] != member[1][y])
         x, y = x[apart], y[apart]
-        longer = np.maximum(stray[2][x], member[2][y])
-        band = (longer * (1 - similarity) + 1e-9).astype(np.int64)
-        # Words before the first that both share aren't shared; at later ones too little is asked, never too much of the first.
-        near = np.minimum(stray[2][x] - stray[3][x], member[2][y] - member[3][y]) >= longer - band
-        x, y = x[near], y[near]
-        met = np.zeros(len(x), bool)
-        for k in range(BEFORE):
-            one = stray_before[x, k]
-            met |= ((member_before[y] == one[:, None]).any(axis=1)) & (one != token[y])  # the token itself stands for none
-        x, y = x[~met], y[~met]
+        if "bag" in a:
+            near = alike(stray_bags, x, member_bags, y, similarity)
+            x, y = x[near], y[near]
+        else:
+            longer = np.maximum(stray[2][x], member[2][y])
+            band = (longer * (1 - similarity) + 1e-9).astype(np.int64)
+            # Words before the first that both share aren't shared; at later ones too little is asked, never too much of the first.
+            near = np.minimum(stray[2][x] - stray[3][x], member[2][y] - member[3][y]) >= longer - band
+            x, y = x[near], y[near]
+            met = np.zeros(len(x), bool)
+            for k in range(BEFORE):
+                one = stray_before[x, k]
+                met |= ((member_before[y] == one[:, None]).any(axis=1)) & (one != token[y])  # the token itself stands for none
+            x, y = x[~met], y[~met]
         parts.append(pd.DataFrame({"u": stray[0][x], "c": member[1][y], "v": member[0][y]}).drop_duplicates())
         start = stop
     out = pd.concat(parts, ignore_index=True).drop_duplicates() if parts else pd.DataFrame({"u": [], "c": [], "v": []}, dtype="int64")
@@ -373,12 +453,15 @@ def _close(a: pd.DataFrame, b: pd.DataFrame, similarity: float, first: bool, at_
 
 
 def _near(tokens: DataFrame, strays: DataFrame, similarity: float, first: bool, block: int = 2048) -> DataFrame:
-    """u, c, v, more (see _close) of rare words (rep, c, words, tokens) and strays (rep), a row each for u, c and, unless first, v.
+    """u, c, v, more (see _close) of rare words (rep, c, words, tokens), or buckets and bags (rep, c, words, tokens, bag), and strays (rep), a row each for u, c and, unless first, v.
 
     Tokens of few rows share a task; rows of others are dealt in blocks, and a task takes a block of either side. Tokens of one
     component, or without a stray, have nothing to tell.
     """
-    before = [F.coalesce(F.get("tokens", F.col("at") - k - 1), F.col("token")).alias(f"before{k}") for k in range(BEFORE)]
+    if "bag" in tokens.columns:
+        before = ["bag"]
+    else:
+        before = [F.coalesce(F.get("tokens", F.col("at") - k - 1), F.col("token")).alias(f"before{k}") for k in range(BEFORE)]
     tokens = tokens.join(small(strays.withColumn("stray", F.lit(True)), 16), "rep", "left").withColumn("stray", F.coalesce("stray", F.lit(False)))
     tokens = tokens.select("*", F.posexplode("tokens").alias("at", "token")).select("token", "at", "rep", "c", "words", "stray", *before)
     sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.count_if("stray").alias("s"), F.min("c").alias("low"), F.max("c").alias("high")).where("s > 0 and low < high")
@@ -397,7 +480,7 @@ def _near(tokens: DataFrame, strays: DataFrame, similarity: float, first: bool,
     rows = rows.withColumn("g", F.pmod(F.xxhash64("token", "i", "j"), F.lit(bundles)))
 
     def close(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [_close(g[g["left"]], g[~g["left"]], similarity, first) for _, g in rows.groupby(["i", "j"])]
+        out = [_close(g[g["left"]], g[~g["left"]], similarity, first, 1 << 18) for _, g in rows.groupby(["i", "j"])]
         return pd.concat(out, ignore_index=True).astype({"u": "int64", "c": "int64", "v": "int64", "more": "bool"})
 
     found = rows.groupBy("g").applyInPandas(close, "u long, c long, v long, more boolean")
@@ -407,11 +490,10 @@ def _near(tokens: DataFrame, strays: DataFrame, similarity: float, first: bool,
 
 
 def _rest(strays: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """u, v: links of the strays (rep) with other texts (rep, text), of other components, one for each stray and component that has any.
+    """u, v: links of the strays (rep) with other texts (rep, text), of other components, one for each stray and component that has any; they needn't share a bucket.
 
     Two texts that are similar share as many labelled words as the longer has, less the band, so they share one of the rarest
-    of either, one more than the band; under it they meet, in any order of all words. A stray is first aligned with one such
-    member of each component, and with all others of the components that it failed with.
+    of either, one more than the band; under it they meet, in any order of all words.
     """
     levels = texts.sparkSession.sparkContext.broadcast(_levels(texts))
 
@@ -422,9 +504,18 @@ def _rest(strays: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: flo
 
     rows = texts.mapInPandas(rare, "rep long, words int, tokens array<long>").join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
     tokens = materialize(rows.select("rep", "words", F.coalesce("component", "rep").alias("c"), "tokens"), "rare-words")
+    return _met(tokens, strays, lambda pairs: texts, similarity)
+
+
+def _met(tokens: DataFrame, strays: DataFrame, texts_of, similarity: float) -> DataFrame:
+    """u, v: links of the strays (rep) with texts of equal tokens (see _near), of other components, one for each stray and component that has any.
+
+    A stray is first aligned with one member of each component, and with all others of the components that it failed with.
+    """
     met = materialize(_near(tokens, strays, similarity, True), "nearest")
     both = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    told = materialize(_aligned(both(met), texts, similarity), "alignments-nearest")
+    pairs = materialize(both(met), "nearest-pairs")
+    told = materialize(_aligned(pairs, texts_of(pairs), similarity), "alignments-nearest")
     edges, failed = told.where("same").select("u", "v"), told.where(~F.col("same"))
     missed = met.where("more").withColumns({"low": F.least("u", "v"), "high": F.greatest("u", "v")}).join(failed.select(F.col("u").alias("low"), F.col("v").alias("high")), ["low", "high"])
     missed = materialize(missed.select("u", "c"), "missed")
@@ -432,17 +523,18 @@ def _rest(strays: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: flo
         return edges
     others = _near(tokens, materialize(missed.select(F.col("u").alias("rep")).distinct(), "missed-strays"), similarity, False)
     others = materialize(both(others.join(small(missed, 24), ["u", "c"], "leftsemi")).join(small(told.select("u", "v"), 24), ["u", "v"], "leftanti"), "others")
-    return edges.union(materialize(_aligned(others, texts, similarity), "alignments-others").where("same").select("u", "v"))
+    return edges.union(materialize(_aligned(others, texts_of(others), similarity), "alignments-others").where("same").select("u", "v"))
 
 
-def _links(keyed: DataFrame, texts_of, similarity: float) -> DataFrame:
-    """u, v: links that connect any two similar texts that share a bucket of keyed (key, rep)."""
+def _links(keyed: DataFrame, bags: DataFrame, texts_of, similarity: float) -> DataFrame:
+    """u, v: links that connect any two similar texts that share a bucket of keyed (key, rep); bags: rep, words, bag."""
     told, strays, rest = None, None, keyed
     while True:
         met = materialize(_candidates(rest), "bucket-pairs")
         pairs = met.select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-        pairs = materialize(pairs if told is None else pairs.join(told.select("u", "v"), ["u", "v"], "leftanti"), "pairs")
-        links = materialize(_verified(pairs, texts_of(pairs), similarity), "alignments")
+        pairs = materialize(_alike(pairs if told is None else pairs.join(told.select("u", "v"), ["u", "v"], "leftanti"), bags, similarity), "pairs")
+        near = pairs.where("alike").select("u", "v")
+        links = materialize(_verified(near, texts_of(near), similarity).union(pairs.where("not alike")), "alignments")
         told = links if told is None else told.union(links)
         failed = told.where(~F.col("same")).select(F.col("u").alias("lead"), F.col("v").alias("rep"))
         rest = materialize(met.join(failed, ["lead", "rep"]).select("key", "rep"), "failed")
@@ -456,9 +548,10 @@ def _links(keyed: DataFrame, texts_of, similarity: float) -> DataFrame:
     # Two members that both linked with their bucket's leader are connected; every other pair has a member that failed with it.
     nodes = materialize(components(edges), "connected")
     hit = materialize(strays.select("key").distinct(), "stray-buckets")
-    members = materialize(keyed.join(small(hit, 16), "key", "leftsemi").select("rep").distinct(), "stray-members")
-    texts = texts_of(members.select(F.col("rep").alias("u"), F.col("rep").alias("v")))
-    return edges.union(_rest(materialize(strays.select("rep").distinct(), "strays"), texts, nodes, similarity))
+    members = keyed.join(small(hit, 16), "key", "leftsemi").groupBy("rep").agg(F.collect_list("key").alias("tokens")).join(bags, "rep")
+    members = members.join(nodes.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    members = materialize(members.select("rep", "words", F.coalesce("component", "rep").alias("c"), "tokens", "bag"), "stray-members")
+    return edges.union(_met(members, materialize(strays.select("rep").distinct(), "strays"), texts_of, similarity))
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, k: int = 5, sketches: int = 72, picks: int = 2, row_col: str | None = None) -> DataFrame:
@@ -473,7 +566,8 @@ def _near_groups(docs: DataFrame, similarity: float, k: int, sketches: int, pick
     classes = materialize(worded.groupBy("digest").agg(F.min("row").alias("rep")), "text-classes")
     reps = worded.join(small(classes.select(F.col("rep").alias("row")), 16), "row", "leftsemi")
     keyed = reps.select(F.col("row").alias("rep"), F.explode("keys").alias("key"))  # read again from the written sketches, which take half the room
-    edges = _links(keyed, lambda pairs: _texts(docs, classes, pairs), similarity)
+    bags = rows.select(F.col("row").alias("rep"), "words", "bag")
+    edges = _links(keyed, bags, lambda pairs: _texts(docs, classes, pairs), similarity)
     of = classes.join(components(edges), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     told = materialize(worded.select("row", "doc_id", "digest").join(of, "digest"), "near-classes")
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "digest", "row"))
